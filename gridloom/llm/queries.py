@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_index
+from . import mixing, secrets, simhash, token_index
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -19,6 +19,14 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_docs(spark, sf_dir, "doc_id", "text"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.encode_and_read_back(_docs(spark, sf_dir, "doc_id", "text"), word_tokenizer(), end_id=1, vocabulary=49_408)
 
