@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, simhash, token_index
+from . import decision_list, mixing, rule_ensemble, secrets, simhash, token_index
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -27,6 +27,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir, "doc_id", "text"))
 
 
+def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", column)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.quality_scores(_docs(spark, sf_dir, "doc_id", "text"), _labels(spark, sf_dir, "quality"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.quality_rules(_docs(spark, sf_dir, "doc_id", "text"), _labels(spark, sf_dir, "quality"))
+
+
 def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.encode_and_read_back(_docs(spark, sf_dir, "doc_id", "text"), word_tokenizer(), end_id=1, vocabulary=49_408)
 
