@@ -26,6 +26,8 @@ from .common import WORD, is_word_count
 SLOTS = 4096
 #: No more sources than this, as the driver holds one row for each.
 MAX_SOURCES = 1_000_000
+#: Columns that a plan adds; those of the documents that have such a name are replaced.
+ADDED = ("size", "source_size", "target", "taken", "m_parts")
 
 
 @dataclass
@@ -81,7 +83,7 @@ def mix_plan(
     cap: int = 2,
     seed: int = 17,
     shards: int = 16,
-    smallest_blocks: int = 64,
+    smallest_blocks: int = 256,
     most_block: int = 1024,
 ) -> DataFrame:
     """All rows of ``docs(doc_id, text, source, ...)`` with ``size, source_size, target, taken`` and ``m_parts``.
@@ -146,7 +148,7 @@ def mix_plan(
             p -> size(p.shards) > 0)""")
     rows = rows.withColumn("m_raw", parts).withColumn("m_parts", cut)
     rows = rows.withColumn("taken", F.expr("aggregate(m_parts, 0L, (a, p) -> a + (p.end - p.start) * size(p.shards))"))
-    return rows.select(*docs.columns, "size", "source_size", "target", "taken", "m_parts")
+    return rows.select(*[c for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
@@ -156,7 +158,7 @@ def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     ``n_chars``, where there is such a column, is counted anew.
     """
     settings = {"cap": 2} | settings
-    plan = mix_plan(docs, **settings)
+    plan = mix_plan(docs.withColumnsRenamed({c: f"m_own_{c}" for c in ADDED}), **settings)
     plan = plan.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.lit(settings["cap"]))))
     plan = plan.withColumn("m_parts", F.expr("filter(m_parts, p -> size(p.shards) >= m_copy)"))
     plan = plan.withColumn("m_words", F.expr("aggregate(m_parts, 0L, (a, p) -> a + p.end - p.start)"))
@@ -165,7 +167,9 @@ def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
         f"array_join(flatten(transform(m_parts, p -> slice(regexp_extract_all(text, r'{WORD}', 0), "
         "cast(p.start + 1 as int), cast(p.end - p.start as int)))), ' ')"
     )
-    plan = plan.withColumn("text", F.when(F.col("m_words") == F.col("size"), F.col("text")).otherwise(some))
+    whole = F.col("m_words") == F.col("size")
+    plan = plan.withColumn("m_text", F.when(whole, F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
-        plan = plan.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return plan.select(*docs.columns)
+        plan = plan.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("m_text").cast(docs.schema["n_chars"].dataType)))
+    plan = plan.withColumn("text", F.col("m_text"))
+    return plan.select(*[F.col(f"m_own_{c}").alias(c) if c in ADDED else F.col(c) for c in docs.columns])

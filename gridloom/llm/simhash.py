@@ -54,15 +54,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` for every row, fp the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: str) -> DataFrame:
+    """``(doc_id, fp)`` for every row, fp the fingerprint as a signed 64-bit integer; ``more`` names long columns to keep."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             f = np.array([fingerprint(t, shingle) for t in pdf.text], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "fp": f})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "fp": f} | {c: pdf[c] for c in more})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    layout = "doc_id long, fp long" + "".join(f", {c} long" for c in more)
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInPandas(run, layout)
 
 
 def _shared(x: np.ndarray) -> np.ndarray:
@@ -181,9 +182,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     component_id is the smallest doc_id that links reach, itself included.
     """
     prints = written(fingerprints(docs, shingle), "prints")
+    found = classed(prints, bits)
+    return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def classed(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """``(fp, root, component_id)`` for each distinct fingerprint of ``prints(doc_id, fp)``."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp"), bits)).withColumnRenamed("node", "fp")
     classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = classes.join(least, "root").select("fp", "component_id")
-    return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return classes.join(least, "root").select("fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of each group of near-duplicates of ``docs``, the one with the smallest doc_id, all columns as they were.
+
+    Of rows of a group that share that id the one with the least hash of its text stays; a group without any id keeps one too.
+    """
+    key = {"s_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "s_text": F.xxhash64("text")}
+    rows = docs.withColumns(key)
+    prints = written(fingerprints(rows, shingle, "s_text"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "s_text")).alias("row")
+    keep = prints.join(classed(prints, bits), "fp").groupBy("root").agg(first)
+    keep = keep.select(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")).alias("s_id"), "row.s_text")
+    return rows.join(keep, ["s_id", "s_text"], "left_semi").dropDuplicates(["s_id", "s_text"]).select(*docs.columns)
