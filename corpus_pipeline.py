@@ -1,10 +1,62 @@
-"""Corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token ids, each stage on what the one before kept."""
+"""Corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token ids, each stage on what the one before kept.
+
+Every stage takes (spark, docs, sf_dir), docs having the columns of ``documents``; all but the last return these columns. A
+stage's result is written as Parquet and read again before the next. Rows with null ids, null or empty texts and repeated
+rows pass like any others; an empty table stays empty; columns besides those of ``documents`` are dropped.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontamination, mixing, queries, simhash, token_index, toxicity
+from gridloom.llm.common import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5, learned from the labels of the documents that are there."""
+    docs = docs.select(*COLUMNS)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.without_toxic(docs, labels).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontamination.decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each copy of a document, with the words of it that the mix takes."""
+    return mixing.mixed_rows(docs.select(*COLUMNS))
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-id shards of the mix with a keyed index; what is read back of each row: doc_id, start, n_tokens, ids_crc32, shard."""
+    return token_index.encode_and_read_back(docs.select("doc_id", "text"), queries.word_tokenizer(), end_id=1, vocabulary=49_408)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
+
+#: The stages' models, hashes and tokenizer have no SQL form; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*[F.col(c) for c in COLUMNS])
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
