@@ -2,7 +2,7 @@
 
 Sequential covering as in RIPPER: rules for the class "bad" are grown one after another on two thirds of what is not yet
 covered, adding the threshold condition with the highest information gain, then pruned from their end on the other
-third; a rule that doesn't reach ``least_precision`` there ends the list. Learning runs on the driver over a bounded sample
+third; a rule that is of no worth there or doesn't reach ``least_precision`` on both parts ends the list. Learning runs on the driver over a bounded sample
 of statistics (numbers, no texts); the list is applied by built-in functions only.
 
 Cases: null and empty texts have no words and fail the base rules; without labels, or with one class only, the list is
@@ -79,7 +79,7 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], least_precision: flo
             worth.append((p - n) / (p + n) if p + n else -1.0)
         rule = rule[: int(np.argmax(worth)) + 1]
         hit = left & _holds(x, names, rule)
-        if not hit.any() or (hit & bad).sum() < least_precision * hit.sum() or max(worth) < 2 * least_precision - 1:
+        if not hit.any() or (hit & bad).sum() < least_precision * hit.sum() or max(worth) <= 0:
             break
         rules.append(rule)
         left &= ~hit

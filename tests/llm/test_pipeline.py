@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 def test_stages_one_by_one(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    odd = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")).union(docs.limit(2)).union(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    odd = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")).union(docs.limit(2)).union(docs.limit(2).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 10**6))
     docs = docs.union(odd).withColumn("size", F.lit("clash")).cache()
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "near_duplicates", "decontamination", "mixing", "token_output"]
