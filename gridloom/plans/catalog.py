@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import cube, desk
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return cube.QUERIES | desk.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return cube.SQL | desk.SQL
