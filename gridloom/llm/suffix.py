@@ -173,7 +173,7 @@ def _runs(block: np.ndarray, i: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray
     b, i = block[hit], i[hit]
     new = np.concatenate(([True], (b[1:] != b[:-1]) | (i[1:] != i[:-1] + 1)))[: len(b)]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(b)) - 1
+    last = np.append(first[1:], len(b))[: len(first)] - 1  # no hits, no runs
     return b[first], i[first], i[last]
 
 
