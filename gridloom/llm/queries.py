@@ -82,5 +82,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+def _either_case(words: str) -> str:
+    return "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in words.split())
+
+
+#: Patterns for an engine without look-behind, whose case folding takes in letters beyond ASCII.
+_SQL_RULES = (
+    ("assign", f"""({_either_case("password passwd secret token api_?key")})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", "[0-9a-f]{16,}", 0, 16),
+)
+
+
+def _secrets_sql() -> str:
+    parts = []
+    for rank, (kind, pattern, group, least) in enumerate(_SQL_RULES):
+        parts.append(f"""select doc_id, text, '{kind}' as kind, {rank} as rank, w, g, p, unnest(generate_series(1, len(w))) as i from (select doc_id, text, string_split_regex(text, '{pattern}') as p,
+            regexp_extract_all(text, '{pattern}', 0) as w, regexp_extract_all(text, '{pattern}', {group}) as g from t where regexp_matches(text, '{pattern}')) where len(w) > 0""")
+    least = " ".join(f"when '{r[0]}' then {r[3]}" for r in _SQL_RULES)
+    lengths = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: len(y))), 0)"
+    return f"""with t as (select doc_id, coalesce(text, '') as text from documents), m as ({" union all ".join(parts)}),
+        s as (select doc_id, kind, rank, cast({lengths("p[1:i]")} + {lengths("w[1:i-1]")} as bigint) as a, len(w[i]) as n from m where len(g[i]) >= case kind {least} end),
+        d as (select doc_id, string_agg(kind || ':' || a || ':' || (a + n), ',' order by a, rank) as spans, count(*) filter (kind = 'assign') as n1, count(*) filter (kind = 'access') as n2, count(*) filter (kind = 'hex') as n3 from s group by doc_id)
+        select t.doc_id, coalesce(n1, 0) as n_assign, coalesce(n2, 0) as n_access, coalesce(n3, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from t left join d on t.doc_id = d.doc_id"""
+
+
+_CHAT_SQL = r"""with r as (select conv_id, turn, role, text from conversations union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    e as (select *, coalesce(role, '') as ro, coalesce(text, '') as te, 24 + len(coalesce(role, '')) + len(coalesce(text, '')) + len(regexp_extract_all(coalesce(role, '') , '[~\n]|<\\*\|')) + len(regexp_extract_all(coalesce(text, ''), '<\\*\|')) as chars from r),
+    c as (select conv_id, count(*) as n_turns, string_agg(ro || chr(10) || te || chr(10), '' order by turn nulls first, role nulls first, text nulls first) as said,
+        coalesce(string_agg(te, '' order by turn nulls first, role nulls first, text nulls first) filter (ro = 'assistant'), '') as loss, cast(sum(chars) as bigint) as formatted_chars from e group by conv_id)
+    select conv_id, n_turns, sha256(said) as turns_sha256, cast(len(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that have any: the others' models, hashes or tokenizers have none, or it is too slow on whole tables."""
+    return {"op2_secrets": _secrets_sql(), "op6_chat": _CHAT_SQL}
