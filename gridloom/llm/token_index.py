@@ -33,8 +33,10 @@ from .common import fresh_dir, written
 BUCKET_KEYS = 20_000
 #: Entries of a task's word memory.
 MEMORY_WORDS = 400_000
-_NO_DOT = re.compile(r"[^\W\d_]+")
+_TAIL = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&]+)")
 _FAR = re.compile("[^\x00-ɏ]|İ")
+#: Bytes that aren't printable stand in a byte-level vocabulary as characters from 256 on, in order.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -61,10 +63,12 @@ class WordEncoder(dict):
         self.tokenizer, self.code = Tokenizer.from_file(path), code
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ".," and _NO_DOT.fullmatch(word, 0, len(word) - 1) and word[-2] <= "ɏ":
-            found = self[word[:-1]] + self[word[-1]]  # a letter and one mark are pieces of their own
-        elif word.isascii() and word.isalpha() and word.islower():
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(f"{word}")], self.code).tobytes()
+        if (m := _TAIL.fullmatch(word)) and m[1][-1] <= "ɏ":
+            found = self[m[1]] + self[m[2]]  # letters and a run of marks are pieces of their own
+        elif word.isalpha() and word.islower() and (word.isascii() or not _FAR.search(word)):
+            # One piece of plain letters, which the model sees as characters that stand for its bytes.
+            piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], self.code).tobytes()
         else:
             found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.code).tobytes()
         if len(word) < 64:
@@ -82,6 +86,17 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+#: The encoder that this Python process used last: later tasks of a reused worker find its words there.
+_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
+
+
+def encoder_of(path: str, code: str) -> WordEncoder:
+    if (path, code) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, code] = WordEncoder(path, code)
+    return _ENCODERS[path, code]
+
+
 def id_code(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -102,7 +117,7 @@ def write_shards(docs: DataFrame, tokenizer: str, to: str, end_id: int = 1, shar
         width = len(end)
         try:
             for pdf in batches:
-                encoder = encoder or WordEncoder(tokenizer, code)
+                encoder = encoder or encoder_of(tokenizer, code)
                 if out is None:
                     name = f"shard-{uuid.uuid4().hex}.bin"
                     fs_, base = store(to)
