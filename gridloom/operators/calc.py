@@ -16,6 +16,7 @@ Coordinates are arrays with one record id for each axis of the sheet, in axis or
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +67,7 @@ def sheet_axes(model: Model) -> DataFrame:
     return model.axes.groupBy("sheet_id").agg(F.sort_array(F.collect_list(each)).alias("ax"), F.max(F.when(F.col("is_main"), F.col("axis_idx"))).alias("main"))
 
 
-def enumerate_cells(model: Model, dense: bool = False) -> DataFrame:
+def enumerate_cells(model: Model, dense: bool = False, tree: DataFrame | None = None) -> DataFrame:
     """``(sheet_id, coord, kids, ax, main)`` of every cell; kids tells for each axis whether the member has children.
 
     Contexts of rule indicators are those of stored cells; with ``dense`` all combinations of leaves, whose number
@@ -86,7 +87,7 @@ def enumerate_cells(model: Model, dense: bool = False) -> DataFrame:
         contexts = stored.where("main is not null").withColumn("coord", _put("coord", F.col("main"), F.lit(None).cast("long"))).dropDuplicates(KEY)
     ruled = contexts.join(indicators, "sheet_id").withColumn("coord", _put("coord", F.col("main"), F.col("i"))).drop("i")
     cells = stored.unionByName(ruled.select(*stored.columns)).dropDuplicates(KEY)
-    tree = hierarchy.closure(model.records).join(records.select(F.col("record_id").alias("anc"), "has_kids", "analytic_id"), "anc")
+    tree = (hierarchy.closure(model.records) if tree is None else tree).join(records.select(F.col("record_id").alias("anc"), "has_kids", "analytic_id"), "anc")
     up = model.axes.select("sheet_id", "axis_idx", "analytic_id").join(tree, "analytic_id").select("sheet_id", "axis_idx", "desc", "anc", "has_kids")
     cells = cells.withColumn("kids", F.transform("coord", lambda _: F.lit(False)))
     for k in range(_most_axes(model)):
@@ -194,7 +195,7 @@ def _local_targets(asked: DataFrame, names: DataFrame, tree: DataFrame) -> DataF
     return found.groupBy(*KEY, "ref_no").agg(F.min(rank).alias("best"))
 
 
-def bind(model: Model, cells: DataFrame) -> tuple[DataFrame, list[str]]:
+def bind(model: Model, cells: DataFrame, tree: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Edges ``(sheet_id, coord, ref_no, to_sheet, to_coord, own)`` of resolved cells, and the distinct formulas.
 
     ref_no numbers the references of a formula, or the children by order. A target that isn't known is null. Across sheets the
@@ -208,12 +209,12 @@ def bind(model: Model, cells: DataFrame) -> tuple[DataFrame, list[str]]:
     asked = cells.where("kind = 'formula'").select(*KEY, "ax", "formula").join(refs, "formula").join(named, "r_sheet", "left")
     asked = asked.withColumn("t_sheet", F.when(F.col("r_sheet").isNull(), F.col("sheet_id")).otherwise(F.col("t_sheet"))).drop("formula")
     asked = asked.join(axes.select(F.col("sheet_id").alias("t_sheet"), F.col("ax").alias("t_ax")), "t_sheet", "left")
-    ordered = hierarchy.in_tree_order(model.records)
+    ordered = hierarchy.in_tree_order(model.records, tree)
     names = ordered.select("analytic_id", F.col("record_id").alias("n_id"), F.col("parent_id").alias("n_parent"), F.col("sort_order").alias("n_sort"), F.col("excel_row").alias("n_row"), F.lower(F.trim("name")).alias("n_name"), F.transform("names", lambda x: F.lower(F.trim(x))).alias("n_path"))
     names = model.axes.where("not is_period").select("sheet_id", "axis_idx", "analytic_id").join(names, "analytic_id").drop("analytic_id")
     up = model.records.select(F.col("record_id").alias("o_parent"), F.col("parent_id").alias("o_grand"))
-    tree = model.records.select(F.col("record_id").alias("o_id"), F.col("parent_id").alias("o_parent")).join(up, "o_parent", "left").select("o_id", "o_parent", "o_grand")
-    best = _local_targets(asked, names, tree)
+    above = model.records.select(F.col("record_id").alias("o_id"), F.col("parent_id").alias("o_parent")).join(up, "o_parent", "left").select("o_id", "o_parent", "o_grand")
+    best = _local_targets(asked, names, above)
     asked = asked.join(best, [*KEY, "ref_no"], "left")
     # Base coordinate: the own one, or across sheets first leaves with the period translated.
     first = model.axes.join(hierarchy.first_leaves(model.records), "analytic_id").groupBy("sheet_id").agg(F.sort_array(F.collect_list(F.struct("axis_idx", "record_id"))).alias("fl"))
@@ -294,34 +295,37 @@ def evaluate(todo: DataFrame, edges: DataFrame, known: DataFrame, formulas: list
     needed = edges.groupBy(*KEY).agg(F.count("*").alias("needed"))
     left = materialized(todo.select(*KEY, "kind", "formula").join(needed, KEY, "left").fillna(0, ["needed"]), "todo")
     pending = todo.select(*to, F.lit(True).alias("waits"))
-    marked = materialized(edges.join(pending, ["to_sheet", "to_coord"], "left"), "marked")
-    waiting = marked.where("waits and not own").drop("waits", "own")
-    values = known.select(*to, F.col("value").alias("v"))
-    there = marked.where("waits is null or own").join(values, ["to_sheet", "to_coord"], "left")
-    arrived = materialized(there.select(*KEY, "ref_no", "gather", F.when(F.col("own"), F.lit(0.0)).otherwise(F.col("v")).alias("v")), "arrived")
-    done, first = None, True
+    values = known.select(*to, F.col("value").alias("v"), F.lit(True).alias("there"))
+    marked = edges.join(pending, ["to_sheet", "to_coord"], "left").join(values, ["to_sheet", "to_coord"], "left")
+    v = F.when(F.col("own"), F.lit(0.0)).otherwise(F.col("v"))
+    marked = materialized(marked.select(*KEY, "ref_no", "gather", "to_sheet", "to_coord", v.alias("v"), (F.col("waits").isNotNull() & ~F.col("own")).alias("waits")), "marked")
+    waiting = marked.where("waits").drop("waits", "v")
+    arrived = marked.where("not waits").select(*KEY, "ref_no", "gather", "v")
+    done: list[DataFrame] = []
     while True:
         got = arrived.groupBy(*KEY).agg(
             F.count("*").alias("n"), F.sum("v").alias("total"), F.max_by(F.coalesce("v", F.lit(0.0)), "ref_no").alias("last"), F.collect_list(F.when(F.col("gather"), F.struct("ref_no", "v"))).alias("refs")
         )
-        ready = left.join(got, KEY, "left" if first else "inner").where("coalesce(n, 0) = needed")
+        # Cells without references are ready at once; later only those that something arrived for can be.
+        ready = left.join(got, KEY, "inner" if done else "left").where("coalesce(n, 0) = needed")
         # Children are summed; only formulas, with a few references each, gather theirs.
         ready = ready.withColumn("refs", F.when(F.col("kind") == "formula", F.map_from_entries("refs")))
-        new, first = materialized(_computed(ready, formulas), "values"), False
+        new = materialized(_computed(ready, formulas), "values")
         if new.isEmpty():
             break
-        done = new if done is None else materialized(done.union(new), "done")
-        left = materialized(left.join(new, KEY, "left_anti"), "todo")
+        done.append(new)
         more = waiting.join(new.select(*to, F.col("value").alias("v")), ["to_sheet", "to_coord"]).select(*KEY, "ref_no", "gather", "v")
-        arrived = materialized(arrived.union(more).join(left.select(*KEY), KEY, "left_semi"), "arrived")
-    rest = left.select(*KEY, F.lit(0.0).alias("value"), F.lit("cycle").alias("status"))
-    return rest if done is None else done.withColumn("status", F.lit("ok")).union(rest)
+        arrived = materialized(arrived.join(new, KEY, "left_anti").union(more), "arrived")
+    computed = reduce(DataFrame.union, done) if done else left.select(*KEY, F.lit(0.0).alias("value")).limit(0)
+    rest = left.join(computed, KEY, "left_anti").select(*KEY, F.lit(0.0).alias("value"), F.lit("cycle").alias("status"))
+    return computed.withColumn("status", F.lit("ok")).union(rest)
 
 
 def calculate(model: Model, dense: bool = False) -> Calculated:
     """All cells of the model with their values."""
-    cells = materialized(resolve(model, enumerate_cells(model, dense)), "cells")
-    bound, formulas = bind(model, cells)
+    tree = hierarchy.closure(model.records)
+    cells = materialized(resolve(model, enumerate_cells(model, dense, tree)), "cells")
+    bound, formulas = bind(model, cells, tree)
     edges = materialized(bound, "edges")
     todo = cells.where("kind <> 'stored'").select(*KEY, "kind", "formula")
     known = cells.where("kind = 'stored'").select(*KEY, F.col("stored").alias("value"))

@@ -51,9 +51,9 @@ def first_leaves(records: DataFrame) -> DataFrame:
     return leaves(records).groupBy("analytic_id").agg(F.min_by("record_id", F.struct("sort_order", "record_id")).alias("record_id"))
 
 
-def in_tree_order(records: DataFrame) -> DataFrame:
-    """Adds ``tree_path`` (sort key of the pre-order), ``names`` (from the root down) and ``depth``."""
-    up = closure(records).alias("c").join(records.alias("a"), F.expr("c.anc = a.record_id"))
+def in_tree_order(records: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """With ``tree``, the closure where it is at hand, adds ``tree_path`` (sort key of the pre-order), ``names`` (from the root down) and ``depth``."""
+    up = (closure(records) if tree is None else tree).alias("c").join(records.alias("a"), F.expr("c.anc = a.record_id"))
     steps = F.sort_array(F.collect_list(F.struct((-F.col("c.depth")).alias("d"), F.col("a.sort_order").alias("s"), F.col("anc").alias("r"), F.col("a.name").alias("n"))))
     walks = up.groupBy(F.col("desc").alias("record_id")).agg(steps.alias("w"))
     walks = walks.select("record_id", F.transform("w", lambda x: F.struct(x["s"], x["r"])).alias("tree_path"), F.transform("w", lambda x: x["n"]).alias("names"), (F.size("w") - 1).alias("depth"))
