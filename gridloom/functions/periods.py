@@ -88,9 +88,9 @@ def from_header(text: Column) -> Column:
         .when(t.rlike(r"^\d{4}-\d\d-\d\d"), F.substring(t, 1, 7))
         .when(t.rlike(r"^\d\d\.\d\d\.\d{4}"), F.concat(F.substring(t, 7, 4), F.lit("-"), F.substring(t, 4, 2)))
     )
-    for names in MONTHS.values():
-        for i, name in enumerate(names.split(), 1):
-            out = out.when((year != "") & t.contains(name), F.concat(year, F.lit(f"-{i:02d}")))
+    names = {n: f"{i:02d}" for each in MONTHS.values() for i, n in enumerate(each.split(), 1)}
+    number = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.regexp_extract(t, f"({'|'.join(names)})", 1))
+    out = out.when((year != "") & number.isNotNull(), F.concat(year, F.lit("-"), number))
     quarter, half = F.regexp_extract(t, r"(?:q([1-4])|([1-4])\s*кв)", 0), F.regexp_extract(t, r"(?:h([12])|([12])\s*п)", 0)
     digit = lambda x: F.regexp_extract(x, r"([1-4])", 1)
     out = out.when((year != "") & (quarter != ""), F.concat(year, F.lit("-Q"), digit(quarter)))
