@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from gridloom.llm import decontamination as d
 from llm_rows import SCHEMA, frame
@@ -54,3 +55,46 @@ def test_against_brute_force(spark, monkeypatch):
     assert clean == set(range(len(texts))) - {i for i, _ in want}
     assert d.contaminated(spark.createDataFrame([], SCHEMA), bench).count() == 0
     assert d.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
+
+
+def by_rule_alone(text, item):
+    """Whether some diagonal has a passing stretch: no masks, no hashing."""
+    w, x = d.words(text), d.words(item)
+    for start in range(-len(x), len(w)):
+        own = [w[start + k] == x[k] for k in range(len(x)) if 0 <= start + k < len(w)]
+        s, e = d.best_stretch(d.np.array(own, bool)) if own else (0, 0)
+        if e - s >= min(d.LEAST_WORDS, len(x)) and 5 * sum(own[s:e]) >= 4 * (e - s) and e > s:
+            return True
+    return False
+
+
+def test_search_finds_what_the_rule_accepts():
+    rnd = random.Random(7)
+    v = [f"w{i}" for i in range(400)]
+    prose = lambda n: [rnd.choice(v) for _ in range(n)]
+    items = [(n * 10 + k, prose(n)) for n in (4, 5, 6, 8, 9, 10, 11, 12, 13, 15, 20, 33) for k in range(3)]
+    index = d.Index([(i, " ".join(x)) for i, x in items])
+    texts = []
+    for _, x in items:
+        for _ in range(30):
+            y = list(x)
+            for k in rnd.sample(range(len(y)), rnd.randrange(len(y) // 5 + 2)):
+                y[k] = "other"
+            texts.append(" ".join(prose(rnd.randrange(12)) + y + prose(rnd.randrange(12))))
+        if len(x) > 11:  # cut-outs that are a whole document, and an item's first words at a document's end
+            texts += [" ".join(x[k : k + n]) for n in (10, 11) for k in range(len(x) - n + 1)]
+            texts += [" ".join(prose(9) + x[:10]), " ".join(x[-10:] + prose(9))]
+    found = 0
+    for t in texts:
+        ids = d.np.array([index.vocabulary.get(w, 0) for w in d.words(t)], d.np.int32)
+        got = {index.item_ids[o[0]] for o in d.overlaps(index, ids)}
+        assert got == {i for i, x in items if by_rule_alone(t, " ".join(x))}, t
+        found += len(got)
+    assert found > 500
+
+
+def test_masks_cover_every_placing_of_unequal_words():
+    ones = [[i for i, b in enumerate(m) if b == "1"] for m in d.MASKS]
+    for n in range(d.LEAST_WORDS, 2 * d.LEAST_WORDS):
+        for other in combinations(range(1, n - 1), n // 5):
+            assert any(not any(k + i in other for i in m) for m in ones for k in range(n - d.SPAN + 1)), (n, other)
