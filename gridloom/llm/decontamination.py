@@ -23,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import is_word_count
@@ -145,6 +145,14 @@ class Coder(dict):
 _OUT = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_equal long, item_words long"
 
 
+def _word_ids(text: str | None, coder: Coder) -> np.ndarray:
+    w = (text or "").lower().split()
+    ids = np.fromiter(map(coder.__getitem__, w), np.int32, len(w))
+    if len(coder) > MEMORY_WORDS:
+        coder.clear()
+    return ids[ids >= 0]
+
+
 def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 
@@ -154,12 +162,7 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         for pdf in batches:
             out = []
             for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                w = (text or "").lower().split()
-                ids = np.fromiter(map(coder.__getitem__, w), np.int32, len(w))
-                ids = ids[ids >= 0]
-                if len(coder) > MEMORY_WORDS:
-                    coder.clear()
-                for i, at, of, n, equal in overlaps(index, ids):
+                for i, at, of, n, equal in overlaps(index, _word_ids(text, coder)):
                     out.append((doc, index.item_ids[i], at, of, n, equal, len(index.items[i])))
             columns = [c.split()[0] for c in _OUT.split(", ")]
             got = pd.DataFrame(out, columns=columns)
@@ -168,25 +171,40 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     return docs.mapInPandas(run, _OUT)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text)`` and item of ``benchmark(item_id, text)`` that overlap.
+def _clean(spark: SparkSession, items: list[tuple[int, str]]):
+    """A column function: whether a text holds no passage of the items."""
+    shared = spark.sparkContext.broadcast(Index(items))
 
-    ``doc_word`` and ``item_word`` say where, in words; ``n_words`` and ``n_equal`` how long and how alike it is.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = shared.value
+        coder = Coder(index.vocabulary)
+        for texts in batches:
+            yield pd.Series([not overlaps(index, _word_ids(t, coder)) for t in texts], dtype=bool)
+
+    return clean
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(is_word_count(F.col("text")))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    parts = []
     for k in range(blocks):
-        got = sorted(((r.item_id, r.text) for r in items.where(block == k).collect()), key=str)
-        parts.append(_block(docs, got))
-    return reduce(DataFrame.union, parts)
+        yield sorted(((r.item_id, r.text) for r in items.where(block == k).collect()), key=str)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each row of ``docs(doc_id, text)`` and item of ``benchmark(item_id, text)`` that overlap.
+
+    ``doc_word`` and ``item_word`` say where, in words; ``n_words`` and ``n_equal`` how long and how alike it is.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    return reduce(DataFrame.union, [_block(docs, items) for items in _blocks(benchmark)])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that hold a passage of the benchmark, all columns as they were; null ids stay unless they do."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    bad = contaminated(docs, benchmark).select(key.alias("d_key")).distinct()
-    return docs.withColumn("d_key", key).join(bad, "d_key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose own texts hold no passage of the benchmark, all columns as they were; decided row by row, whatever their ids."""
+    for items in _blocks(benchmark):
+        docs = docs.where(_clean(docs.sparkSession, items)("text"))
+    return docs

@@ -98,3 +98,14 @@ def test_masks_cover_every_placing_of_unequal_words():
     for n in range(d.LEAST_WORDS, 2 * d.LEAST_WORDS):
         for other in combinations(range(1, n - 1), n // 5):
             assert any(not any(k + i in other for i in m) for m in ones for k in range(n - d.SPAN + 1)), (n, other)
+
+
+def test_rows_are_removed_by_their_own_text(spark, monkeypatch):
+    item, other = " ".join(f"q{i}" for i in range(30)), " ".join(f"z{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    rows = [(None, f"x {item} y"), (None, "clean without an id"), (None, None), (7, f"{other} y"), (7, "clean of the same id"), (8, "clean"), (8, "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (500_000, 30):
+        monkeypatch.setattr(d, "BLOCK_WORDS", block)
+        got = [(r.doc_id, r.text) for r in d.decontaminated(df, bench).collect()]
+        assert sorted(got, key=str) == sorted((rows[i] for i in (1, 2, 4, 5, 6)), key=str)
