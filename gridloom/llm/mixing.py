@@ -1,7 +1,8 @@
 """Mixing sources to target weights: Sainte-Laguë apportionment of equal-token blocks.
 
 Each source is one stream of words, its documents in a seeded order. The stream is cut into blocks of the same number
-of words. Sainte-Laguë gives the next block to the source with the highest quotient wanted / (2 * given + 1); the
+of words; sources too small for enough of them have blocks of a smaller size, a power of two, and are apportioned among those of
+that size alone, so a small source changes no other's blocks. Sainte-Laguë gives the next block to the source with the highest quotient wanted / (2 * given + 1); the
 sequence of given blocks is cut into shards, which fixes an integer quota per source and shard. A seeded permutation
 of a source's blocks then says which blocks its quota takes: every block once before any is taken twice.
 
@@ -36,6 +37,7 @@ class Source:
     size: int
     weight: float
     target: float = 0.0
+    block: int = 1
     blocks: int = 0
     wanted: float = 0.0
     quota: int = 0
@@ -88,8 +90,8 @@ def mix_plan(
 ) -> DataFrame:
     """All rows of ``docs(doc_id, text, source, ...)`` with ``size, source_size, target, taken`` and ``m_parts``.
 
-    ``weights`` repeat over the sources in code-point order. A block has so many words that the smallest source is
-    wanted for ``smallest_blocks`` of them, ``most_block`` at most. ``m_parts`` lists (start, end, times, shards):
+    ``weights`` repeat over the sources in code-point order. A source's blocks have ``most_block`` words or,
+    where it is wanted for fewer than ``smallest_blocks`` of those, the largest power of two that gives so many, one word at least. ``m_parts`` lists (start, end, times, shards):
     word ranges of the document, how often each is taken and by which shards.
     """
     rows = docs.withColumns(
@@ -109,22 +111,29 @@ def mix_plan(
     sources = [Source(x[2], x[3], float(weights[i % len(weights)])) for i, x in enumerate(found)]
     for s, t in zip(sources, targets([s.size for s in sources], [s.weight for s in sources], share, cap), strict=True):
         s.target = t
-    block = max(1, min([int(s.target) // smallest_blocks for s in sources if s.size] + [most_block]))
     for s in sources:
-        s.blocks = max(1, s.size // block) if s.size else 0
+        most_own = int(s.target) // smallest_blocks
+        s.block = most_block if most_own >= most_block else 1 << max(0, most_own.bit_length() - 1)
+        s.blocks = max(1, s.size // s.block) if s.size else 0
         s.wanted = s.target * s.blocks / s.size if s.size else 0.0
-    seats, most = round(sum(s.wanted for s in sources)), [cap * s.blocks for s in sources]
-    ends = [apportion([s.wanted for s in sources], most, round(seats * p / shards)) for p in range(1, shards + 1)]
+    ends = [[0] * shards for _ in sources]
+    for block in sorted({s.block for s in sources}):
+        own = [i for i, s in enumerate(sources) if s.block == block]
+        wanted, most = [sources[i].wanted for i in own], [cap * sources[i].blocks for i in own]
+        seats = round(sum(wanted))
+        for p in range(shards):
+            for i, n in zip(own, apportion(wanted, most, round(seats * (p + 1) / shards)), strict=True):
+                ends[i][p] = n
     table = []
     for i, s in enumerate(sources):
-        s.quota = ends[-1][i]
+        s.quota = ends[i][-1]
         step = next((a for a in range(int(s.blocks * 0.618) | 1, s.blocks + 2) if math.gcd(a, max(1, s.blocks)) == 1), 1)
         shift = (seed * 2654435761 + i * 40503) % max(1, s.blocks)
-        table.append((s.key, s.size, s.target, s.blocks, s.quota, step, shift, [e[i] for e in ends]))
+        table.append((s.key, s.size, s.target, s.block, s.blocks, s.quota, step, shift, ends[i]))
     spark = docs.sparkSession
     known = spark.createDataFrame(
         table,
-        "m_key string, source_size long, target double, m_blocks long, m_quota long, m_step long, m_shift long, m_ends array<long>",
+        "m_key string, source_size long, target double, m_block long, m_blocks long, m_quota long, m_step long, m_shift long, m_ends array<long>",
     )
     before = F.sum("m_sum").over(Window.partitionBy("m_key").orderBy("m_slot")) - F.col("m_sum")
     offsets = slots.withColumn("m_before", before).drop("m_sum").join(F.broadcast(known) if len(table) < 10_000 else known, "m_key")
@@ -132,12 +141,12 @@ def mix_plan(
     rows = rows.withColumn("m_in", F.sum("size").over(in_slot) - F.col("size")).join(offsets, ["m_key", "m_slot"])
     rows = rows.withColumn("m_at", F.col("m_before") + F.col("m_in"))
     # A block's rank in the seeded permutation: it is taken by draw `rank` and, in a second round, by `rank + blocks`.
-    parts = F.expr(f"""
+    parts = F.expr("""
         case when size = 0 then array() else transform(
-            sequence(least(m_at div {block}, m_blocks - 1), least((m_at + size - 1) div {block}, m_blocks - 1)),
+            sequence(least(m_at div m_block, m_blocks - 1), least((m_at + size - 1) div m_block, m_blocks - 1)),
             b -> named_struct(
-                'start', greatest(b * {block} - m_at, 0L),
-                'end', case when b = m_blocks - 1 then size else least((b + 1) * {block} - m_at, size) end,
+                'start', greatest(b * m_block - m_at, 0L),
+                'end', case when b = m_blocks - 1 then size else least((b + 1) * m_block - m_at, size) end,
                 'rank', (b * m_step + m_shift) % m_blocks)) end""")
     draws = ", ".join(f"rank + {k} * m_blocks" for k in range(cap))
     draws = draws.replace("rank", "p.rank")

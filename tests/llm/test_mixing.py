@@ -68,3 +68,16 @@ def test_rows_hold_the_taken_words(spark, odd_texts):
     assert {d: out.get(d, 0) for d in taken} == taken
     assert mixing.mix_plan(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mixed_rows(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_tiny_source_leaves_the_others_blocks(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(99)}" for _ in range(300)) for _ in range(600)]
+    tiny = ["t " * 50]
+    source = lambda i: "z" if i == 600 else "ab"[i % 2]
+    plans = [{r.doc_id: r for r in mixing.mix_plan(frame(spark, t, source)).collect()} for t in (texts, texts + tiny)]
+    assert 0 < plans[1][600].taken <= 100
+    whole = [{d: [(p.start, p.end, len(p.shards)) for p in r.m_parts] for d, r in plan.items() if d < 600} for plan in plans]
+    changed = sum(whole[0][d] != whole[1][d] for d in range(600))
+    assert changed <= 6  # a target that is a few words less costs a block or so, which one or two documents hold
+    assert max(len(v) for v in whole[1].values()) <= max(len(v) for v in whole[0].values())
