@@ -78,7 +78,9 @@ class WordEncoder(dict):
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if text.isascii() or not _FAR.search(text):  # here lower() maps letter by letter and nothing composes
+        # Added tokens, all of which begin with <|, are matched in the text as it is, so its case stays where they may be.
+        # Elsewhere in such texts lower() maps letter by letter and nothing composes.
+        if "<|" not in text and (text.isascii() or not _FAR.search(text)):
             text = text.lower()
         if len(self) > MEMORY_WORDS:
             self.clear()

@@ -50,3 +50,9 @@ def test_index_is_minimal_and_rejects_strangers(spark):
     index, buckets = token_index.build_index(records, to)
     keys = spark.createDataFrame([(str(i),) for i in [5, 7, 7, *range(100_000, 100_300)]], "key string")
     assert sorted(r.key for r in token_index.lookup(keys, index, buckets, to).collect()) == ["5", "7"]
+
+
+def test_control_strings_keep_their_case():
+    encoder = token_index.WordEncoder(queries.word_tokenizer(), "<u2")
+    for t in ("a <|ENDOFTEXT|> B", "<|StartOfText|>", "X<|endoftext|>Y Don't.", "É<|EndOfText|>é <|startoftext|>", "<|IM_END|> Word.", "<| ENDOFTEXT|>"):
+        assert np.frombuffer(encoder.ids(t), "<u2").tolist() == plain(t)[:-1], t
