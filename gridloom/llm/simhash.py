@@ -193,17 +193,3 @@ def classed(prints: DataFrame, bits: int = BITS) -> DataFrame:
     classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return classes.join(least, "root").select("fp", "root", "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of each group of near-duplicates of ``docs``, the one with the smallest doc_id, all columns as they were.
-
-    Of rows of a group that share that id the one with the least hash of its text stays; a group without any id keeps one too.
-    """
-    key = {"s_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "s_text": F.xxhash64("text")}
-    rows = docs.withColumns(key)
-    prints = written(fingerprints(rows, shingle, "s_text"), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "s_text")).alias("row")
-    keep = prints.join(classed(prints, bits), "fp").groupBy("root").agg(first)
-    keep = keep.select(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")).alias("s_id"), "row.s_text")
-    return rows.join(keep, ["s_id", "s_text"], "left_semi").dropDuplicates(["s_id", "s_text"]).select(*docs.columns)

@@ -1,6 +1,6 @@
 import corpus_pipeline
 import pytest
-from gridloom.llm import decontamination, mixing, queries, simhash, token_index, toxicity
+from gridloom.llm import decontamination, mixing, queries, similar, token_index, toxicity
 from pyspark.sql import functions as F
 
 
@@ -19,8 +19,8 @@ def test_stages_one_by_one(spark, sf):
     assert key(clean) == key(docs.where(F.col("doc_id").isNull() | ~F.col("doc_id").isin(list(bad))))
 
     one = run["near_duplicates"](spark, clean, sf).cache()
-    groups = simhash.near_duplicates(clean).select("component_id").distinct().count()
-    assert one.count() == groups and simhash.near_duplicates(one).select("component_id").distinct().count() == groups
+    groups = similar.grouped(clean.withColumns({"s_id": similar._key(), "s_text": F.xxhash64("text")})).select("root").distinct().count()
+    assert one.count() == groups < clean.count()
 
     free = run["decontamination"](spark, one, sf).cache()
     leaks = decontamination.contaminated(one, spark.read.parquet(f"{sf}/benchmark.parquet")).select("doc_id").distinct().count()
