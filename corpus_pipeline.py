@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, mixing, queries, simhash, token_index, toxicity
+from gridloom.llm import decontamination, mixing, queries, similar, token_index, toxicity
 from gridloom.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """One document of each group whose word shingles (five words) are alike by 0.8 or more: the one with the smallest id."""
+    return similar.one_of_each(docs.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
