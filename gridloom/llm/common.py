@@ -42,11 +42,11 @@ def is_word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], ways: int = 16) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", ways: int = 16) -> DataFrame:
     """``many`` joined to ``one``, a table with each key once: a key that holds a large part of ``many`` is dealt to ``ways`` tasks."""
     salt = F.pmod(F.xxhash64(F.lit(5), *many.columns), F.lit(ways)).cast("int")
     dealt = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    return many.withColumn("_salt", salt).join(dealt, [*keys, "_salt"]).drop("_salt")
+    return many.withColumn("_salt", salt).join(dealt, [*keys, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

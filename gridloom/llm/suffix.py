@@ -1,21 +1,21 @@
 """Repeated passages: every byte that a string of ``LENGTH`` (400) bytes covers which also starts anywhere else.
 
-A sparse suffix array. Suffixes start only at content-defined anchors: each window of ``LENGTH`` bytes has as its anchor
-the leftmost of its ``SEED``-byte seeds with the least hash. Equal windows have equal seeds at equal places, so two windows
-can only be equal if their anchors' seeds are, and every window belongs to exactly one anchor. Consecutive windows with one
-anchor form a block; about one byte in two hundred is an anchor.
+A suffix array over range-partitioned buckets. Sorting a suffix of 400 bytes at every byte would shuffle 400 times the input, so
+suffixes travel in blocks. Anchors are content-defined: each window of ``LENGTH`` bytes has as its anchor the leftmost of
+its ``SEED``-byte seeds with the least hash; consecutive windows with one anchor are a block, which is about two hundred suffixes
+in 600 bytes. Equal windows have equal seeds at equal places, so only suffixes of blocks whose anchors' seeds are equal can be equal.
 
 1. Anchors are emitted with a hash of the seed and one of the whole block; seeds that occur once are out.
-2. Blocks that are equal as a whole are repeated in all their windows. One of each stands for its class.
-3. Classes that share a seed but differ around it are compared window by window: the blocks' bytes are range-partitioned by
-   the leading bytes of the suffix at their anchor with splitters that Spark samples, each bucket sorts the suffixes of its
-   blocks by seed, offset and hash, and equal neighbours are repeats. A seed is in one bucket, so none crosses a
-   boundary. Seeds with more than ``CROWD`` classes don't go to a bucket; their windows' hashes are counted over all
-   executors instead, which splits them evenly.
+2. Blocks that are equal as a whole are repeated in all their suffixes. One of each stands for its class.
+3. Splitters that Spark samples range-partition the classes by the leading bytes of the suffix at their anchor; within a bucket
+   a multikey quicksort with eight-byte characters sorts the suffixes of all blocks by their bytes, and neighbours that tie down
+   to ``LENGTH`` bytes are repeats. Splitters never part equal seeds, so no equal pair lies across a boundary.
+   Seeds with more than ``CROWD`` classes would make a bucket too large; hashes of their suffixes are
+   counted over all executors instead, which splits them evenly and finds the same.
 4. Runs of repeated windows are joined to their texts, merged and cut out.
 
-Windows are compared by a 64-bit hash of the seed, the offset and a 64-bit polynomial hash of the bytes. Texts are
-addressed by 128 bits of hash; a text that several rows have is repeated in all its windows.
+Blocks are told equal by two 64-bit hashes, texts are addressed by 128 bits of hash; a text that several rows have is repeated in
+all its windows. Joins on seeds, blocks and texts are salted, as a passage or copy that is everywhere makes one key of them.
 
 Cases: null texts are empty; texts below ``LENGTH`` bytes have no windows and stay; repeated rows repeat each other;
 very long texts are cut into overlapping pieces for counting, not for the result; an empty table gives an empty result;
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 LENGTH, SEED = 400, 32
 SEEDS = LENGTH - SEED + 1
@@ -157,15 +157,47 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _ANCHORS = "k1 long, k2 long, s long, n int, a int, h long, c long"
 
 
-def _windows(raw: list[bytes], n: np.ndarray, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of blocks: block number, window number and a hash of seed, offset to the anchor and bytes."""
+def _suffixes(raw: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Joined bytes of blocks, and for each of their suffixes: block number, number within the block, place in the bytes."""
     data = np.frombuffer(b"".join(raw), np.uint8)
     base = np.cumsum([len(x) for x in raw]) - [len(x) for x in raw]
     block = np.repeat(np.arange(len(raw)), n)
     i = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
-    at = base[block] + i
-    d = (a[block] - i).astype(np.uint64)
-    return block, i, mixed(Hasher(data)(at, at + LENGTH) ^ mixed(h[block].view(np.uint64) + d * np.uint64(0x9E3779B97F4A7C15)))
+    return data, block, i, base[block] + i
+
+
+def tied(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether the suffix at each place equals another of its group in the first ``LENGTH`` bytes.
+
+    Multikey quicksort over eight bytes at a time, all groups in step: a group whose members differ at the present depth is
+    sorted there and parts into smaller ones, one that agrees goes on to the next depth, and one of a single suffix is done.
+    """
+    words = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        words[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
+    own = np.argsort(group, kind="stable")
+    new = np.concatenate(([True], group[own][1:] != group[own][:-1]))[: len(own)]
+    for depth in range(0, LENGTH, 8):
+        size = np.diff(np.append(np.flatnonzero(new), len(own)))
+        stay = np.repeat(size > 1, size)
+        own, new = own[stay], new[stay]
+        if not len(own):
+            break
+        x = words[at[own] + depth]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(own)))
+        parts = np.logical_or.reduceat(x != np.repeat(x[first], size), first)
+        if parts.any():
+            which = np.repeat(parts, size)
+            order = np.flatnonzero(which)
+            g = np.repeat(np.arange(len(first)), size)[order]
+            order = order[np.lexsort((x[order], g))]
+            own[which], x[which] = own[order], x[order]
+            new[1:] |= which[1:] & (x[1:] != x[:-1])
+    size = np.diff(np.append(np.flatnonzero(new), len(own)))
+    out = np.zeros(len(at), bool)
+    out[own[np.repeat(size > 1, size)]] = True
+    return out
 
 
 def _runs(block: np.ndarray, i: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,14 +210,13 @@ def _runs(block: np.ndarray, i: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks sorted by seed; equal windows of a seed, found as neighbours after sorting."""
+    """Streams blocks sorted by seed; runs of suffixes that are equal to others of their seed."""
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, i, key = _windows(list(pdf.raw), pdf.n.to_numpy(), pdf.a.to_numpy(), pdf.h.to_numpy())
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        hit = np.zeros(len(key), bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        data, block, i, at = _suffixes(list(pdf.raw), pdf.n.to_numpy())
+        # Suffixes can be equal where seed and offset to the anchor are.
+        seed = np.unique(pdf.h.to_numpy(), return_inverse=True)[1]
+        hit = tied(data, at, seed[block] * LENGTH + pdf.a.to_numpy()[block] - i)
         b, x, y = _runs(block, i, hit)
         s = pdf.s.to_numpy()[b]
         return pd.DataFrame({"k1": pdf.k1.to_numpy()[b], "k2": pdf.k2.to_numpy()[b], "start": s + x, "end": s + y + LENGTH})
@@ -217,10 +248,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, anchors: DataFrame, shared: DataFrame) -> DataFrame:
     """Runs of repeated windows ``(k1, k2, start, end)`` in bytes. ``shared``: classes of blocks ``(h, c, n_blocks, rep)``
     whose seeds recur; ``texts(k1, k2, raw)``: compressed texts, each once."""
-    whole = anchors.join(shared.where("n_blocks > 1").select("h", "c"), ["h", "c"])
+    whole = spread_join(anchors, shared.where("n_blocks > 1").select("h", "c"), ["h", "c"])
     whole = whole.select("k1", "k2", F.col("s").alias("start"), (F.col("s") + F.col("n") - 1 + LENGTH).alias("end"))
     seeds = shared.groupBy("h").agg(F.count("*").alias("classes")).where("classes > 1")
-    reps = shared.join(seeds, "h").select("rep.k1", "rep.k2", "rep.s", "rep.n", "rep.a", "h", "classes")
+    reps = spread_join(shared.select("h", "rep"), seeds, ["h"]).select("rep.k1", "rep.k2", "rep.s", "rep.n", "rep.a", "h", "classes")
     wanted = reps.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n", "a", "h", "classes")).alias("blocks"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,7 +281,9 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, shared: DataFrame) -> D
         for pdf in batches:
             for i in range(0, len(pdf), 500):
                 p = pdf.iloc[i : i + 500]
-                b, w, key = _windows(list(p.raw), p.n.to_numpy(), p.a.to_numpy(), p.h.to_numpy())
+                data, b, w, at = _suffixes(list(p.raw), p.n.to_numpy())
+                d = (p.a.to_numpy()[b] - w).astype(np.uint64)
+                key = mixed(Hasher(data)(at, at + LENGTH) ^ mixed(p.h.to_numpy()[b].view(np.uint64) + d * np.uint64(0x9E3779B97F4A7C15)))
                 s = p.s.to_numpy()[b] + w
                 yield pd.DataFrame({"k1": p.k1.to_numpy()[b], "k2": p.k2.to_numpy()[b], "start": s, "end": s + LENGTH, "key": _signed(key)})
 
@@ -274,7 +307,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     anchors = written(rows.select("k1", "k2", "text").mapInPandas(_anchors, _ANCHORS), "anchors")
     twice = anchors.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    anchors = written(anchors.join(twice, "h"), "anchors")
+    anchors = written(spread_join(anchors, twice, ["h"]), "anchors")
     shared = anchors.groupBy("h", "c").agg(F.count("*").alias("n_blocks"), F.min(F.struct("k1", "k2", "s", "n", "a")).alias("rep"))
     shared = written(shared, "classes")
     touched = anchors.select("k1", "k2").distinct()
@@ -309,7 +342,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     size = F.octet_length("text").cast("long")
     each = rows.select("doc_id", "k1", "k2", size.alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
     copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
-    each = each.join(cut, ["k1", "k2"], "left").join(copies, ["k1", "k2"], "left")
+    each = spread_join(each, cut.join(copies, ["k1", "k2"], "full"), ["k1", "k2"], "left")
     all_ = F.col("copies").isNotNull() & (F.col("n_bytes") >= LENGTH)
     pick = lambda whole, part, none: F.when(all_, whole).when(F.col("r").isNotNull(), part).otherwise(none)
     return each.select(

@@ -64,3 +64,18 @@ def test_blocks_cover_each_window_once(texts):
 
 def test_empty(spark):
     assert suffix.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_multikey_quicksort():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    data = rnd.integers(0, 2, 3000, dtype=np.uint8)
+    data[1000:1900] = data[:900]
+    data[2200:2650] = data[100:550]
+    at = np.arange(3000 - N + 1)
+    for group in (np.zeros(len(at), np.int64), at % 3):
+        count = Counter((int(g), data[i : i + N].tobytes()) for i, g in zip(at, group))
+        want = [count[int(g), data[i : i + N].tobytes()] > 1 for i, g in zip(at, group)]
+        assert suffix.tied(data, at, group).tolist() == want and any(want)
+    assert suffix.tied(data, at[:0], at[:0]).tolist() == []
