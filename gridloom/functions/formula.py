@@ -262,3 +262,35 @@ def to_column(node: Node | str, of: Callable[[Ref], Column]) -> Column:
 def over_columns(text: str) -> Column:
     """A formula whose references are columns of the same names."""
     return to_column(text, lambda r: F.col(r.chain[-1]).cast("double"))
+
+
+def linear_in(node: Node, unknown: Ref, of: Callable[[Ref], Column]) -> tuple[Column, Column] | None:
+    """Columns (a, b) with formula = a * unknown + b, or nothing if the formula isn't of that form; a null column says the same of a row."""
+
+    def walk(x: Node) -> tuple[Column | None, Column] | None:
+        """Factor (none where the unknown isn't there) and rest."""
+        if x == unknown:
+            return F.lit(1.0), F.lit(0.0)
+        if unknown not in references(x):
+            return None, _zero(_column(x, of))
+        parts = [walk(a) for a in x.args]
+        if not all(parts):
+            return None
+        if x.name == "neg":
+            return -parts[0][0], -parts[0][1]
+        if x.name in ("+", "-", "SUM"):
+            sign = -1.0 if x.name == "-" else 1.0
+            out = parts[0]
+            for a, b in parts[1:]:
+                factors = [f for f in (out[0], a if a is None else a * sign) if f is not None]
+                out = (_total(factors) if factors else None), out[1] + b * sign
+            return out
+        if x.name == "*" and (parts[0][0] is None or parts[1][0] is None):
+            (a, b), c = (parts[0], parts[1][1]) if parts[1][0] is None else (parts[1], parts[0][1])
+            return a * c, b * c
+        if x.name == "/" and parts[1][0] is None:
+            return F.try_divide(parts[0][0], parts[1][1]), F.try_divide(parts[0][1], parts[1][1])
+        return None
+
+    got = walk(node)
+    return None if got is None or got[0] is None else (got[0], got[1])

@@ -5,7 +5,8 @@
    rule on inner nodes or the leaf rule on leaves, and else the sum of the children along one axis (period, main, others).
 3. ``bind``: references of each distinct formula as rows, joined to names, periods and sheets: a table of edges.
 4. ``evaluate``: rounds of joins; in each, all cells whose references have arrived get their values by compiled columns.
-   The number of rounds is the depth of the dependencies, never the number of cells; each round ends in a written table.
+   Rounds are as many as dependencies are deep, never as many as cells; chains of cells that are linear in one another, such as
+   balances over time, are composed by doubling jumps. Each round ends in a written table.
 
 Only distinct formula texts, which are metadata, come to the driver. Cells of cycles have status ``cycle`` and value 0; cells that
 refer to a name which is not there have status ``unresolved``.
@@ -18,17 +19,19 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import numbers, periods
-from ..functions.formula import KEYWORDS, parse, references, to_column
+from ..functions.formula import KEYWORDS, linear_in, parse, references, to_column
 from ..session import materialized
 from . import hierarchy
 
 KEY = ["sheet_id", "coord"]
 #: Formulas that one projection evaluates.
 CHUNK = 100
+#: Rounds after which chains are looked for.
+ROUNDS_TO_CHAINS = (1, 8, 64, 512)
 
 
 @dataclass(frozen=True)
@@ -268,56 +271,127 @@ def _with_params(model: Model, asked: DataFrame) -> DataFrame:
     return keep.withColumn("to_coord", target).drop("puts")
 
 
-def _computed(ready: DataFrame, formulas: list[str]) -> DataFrame:
-    """``(sheet_id, coord, value)`` of cells with ``refs``, a map from reference numbers to values."""
-    total = F.when(F.col("kind") == "SUM", F.coalesce("total", F.lit(0.0))).when(F.col("kind") == "AVERAGE", F.coalesce(F.try_divide("total", "n"), F.lit(0.0))).when(F.col("kind") == "LAST", F.coalesce("last", F.lit(0.0)))
-    out = ready.where("kind <> 'formula'").select(*KEY, total.alias("value"))
-    for i in range(0, len(formulas), CHUNK):
-        part, value = formulas[i : i + CHUNK], None
-        for text in part:
-            node = parse(text)
-            order = {r: k for k, r in enumerate(references(node))}
-            x = to_column(node, lambda r, order=order: F.element_at("refs", F.lit(order[r])))
-            test = F.col("formula") == text
-            value = F.when(test, x) if value is None else value.when(test, x)
-        out = out.union(ready.where((F.col("kind") == "formula") & F.col("formula").isin(part)).select(*KEY, value.alias("value")))
+def _value(formulas: list[str]) -> Column:
+    """The value of a cell: of SUM, AVERAGE and LAST from aggregates, of formulas from ``refs``, a map of reference numbers to values."""
+    out = F.when(F.col("kind") == "SUM", F.coalesce("total", F.lit(0.0))).when(F.col("kind") == "AVERAGE", F.coalesce(F.try_divide("total", "n"), F.lit(0.0))).when(F.col("kind") == "LAST", F.coalesce("last.v", F.lit(0.0)))
+    for text in formulas:
+        node = parse(text)
+        order = {r: k for k, r in enumerate(references(node))}
+        out = out.when(F.col("formula") == text, to_column(node, lambda r, order=order: F.element_at("refs", F.lit(order[r]))))
     return out
 
 
+def _with_values(ready: DataFrame, formulas: list[str]) -> DataFrame:
+    """Adds ``value`` where ``ready``. With many formulas the cells are written once, by formula, and each projection reads its own."""
+    if len(formulas) <= CHUNK:
+        return ready.withColumn("value", F.when(F.col("ready"), _value(formulas)))
+    spark = ready.sparkSession
+    numbered = spark.createDataFrame([(t, i // CHUNK) for i, t in enumerate(formulas)], "formula string, chunk int")
+    ready = materialized(ready.join(numbered, "formula", "left").fillna(0, ["chunk"]), "ready", "chunk")
+    parts = [ready.where(F.col("chunk") == k).withColumn("value", F.when(F.col("ready"), _value(formulas[k * CHUNK : (k + 1) * CHUNK]))) for k in range(-(-len(formulas) // CHUNK))]
+    return reduce(DataFrame.union, parts).drop("chunk")
+
+
+_PARTIAL = ("n", "total", "last", "refs")
+
+
+def _gathered(arrivals: DataFrame) -> DataFrame:
+    """``(sheet_id, coord, n, total, last, refs)``: what has arrived for each cell. Children are summed; only formulas, with a few references each, gather theirs."""
+    return arrivals.groupBy(*KEY).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.max_by("last", "last.ref_no").alias("last"), F.flatten(F.collect_list("refs")).alias("refs")
+    )
+
+
+def _arrivals(edges: DataFrame) -> DataFrame:
+    """Edges with a value ``v`` as rows that ``_gathered`` adds up."""
+    one = F.struct("ref_no", "v")
+    none = F.array().cast("array<struct<ref_no:int,v:double>>")
+    return edges.select(*KEY, F.lit(1).cast("long").alias("n"), F.coalesce("v", F.lit(0.0)).alias("total"), F.struct("ref_no", F.coalesce("v", F.lit(0.0)).alias("v")).alias("last"), F.when(F.col("gather"), F.array(one)).otherwise(none).alias("refs"))
+
+
+def _chains(open_: DataFrame, waiting: DataFrame, formulas: list[str]) -> DataFrame:
+    """``(sheet_id, coord, to_sheet, to_coord, a, b)``: cells whose value is a * value(to) + b, to being none of them.
+
+    ``open_(.., kind, formula, needed, n, total, last, refs)`` are the cells without a value. Of those that wait for one reference only, and are linear in it, chains
+    (balances over time, say) are composed by jumps that double, so a chain of any length takes the logarithm of it in rounds.
+    """
+    target = open_.select(F.col("sheet_id").alias("to_sheet"), F.col("coord").alias("to_coord"))
+    one = open_.where(F.col("needed") - F.col("n") == 1).join(waiting.select(*KEY, "ref_no", "to_sheet", "to_coord"), KEY).join(target, ["to_sheet", "to_coord"], "left_semi")
+    kind, after = F.col("kind"), F.coalesce(F.col("ref_no") > F.col("last.ref_no"), F.lit(True))
+    a = F.when(kind == "SUM", F.lit(1.0)).when(kind == "AVERAGE", 1.0 / F.col("needed")).when(kind == "LAST", after.cast("double"))
+    b = F.when(kind == "SUM", F.coalesce("total", F.lit(0.0))).when(kind == "AVERAGE", F.coalesce("total", F.lit(0.0)) / F.col("needed")).when(kind == "LAST", F.when(after, 0.0).otherwise(F.col("last.v")))
+    for text in formulas:
+        node = parse(text)
+        order = {r: k for k, r in enumerate(references(node))}
+        for r, k in order.items():
+            if linear := linear_in(node, r, lambda x, order=order: F.element_at("refs", F.lit(order[x]))):
+                here = (F.col("formula") == text) & (F.col("ref_no") == k)
+                a, b = a.when(here, linear[0]), b.when(here, linear[1])
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    now = one.withColumn("refs", F.map_from_entries("refs")).select(*KEY, "to_sheet", "to_coord", a.alias("a"), b.alias("b")).where(finite(F.col("a")) & finite(F.col("b")))
+    now, before = materialized(now, "chains"), None
+    while True:
+        far = now.select(F.col("sheet_id").alias("to_sheet"), F.col("coord").alias("to_coord"), F.col("to_sheet").alias("s2"), F.col("to_coord").alias("c2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        on = F.col("s2").isNotNull()
+        seen = Observation()
+        step = now.join(far, ["to_sheet", "to_coord"], "left").select(
+            *KEY, F.coalesce("s2", "to_sheet").alias("to_sheet"), F.coalesce("c2", "to_coord").alias("to_coord"),
+            F.when(on, F.col("a") * F.col("a2")).otherwise(F.col("a")).alias("a"), F.when(on, F.col("a") * F.col("b2") + F.col("b")).otherwise(F.col("b")).alias("b"), on.alias("jumped"),
+        ).observe(seen, F.coalesce(F.count_if("jumped"), F.lit(0)).alias("n"))
+        now = materialized(step, "chains").drop("jumped")
+        # What still jumps when no fewer do than before runs in a cycle.
+        if not seen.get["n"] or seen.get["n"] == before:
+            break
+        before = seen.get["n"]
+    ends = now.select(F.col("sheet_id").alias("to_sheet"), F.col("coord").alias("to_coord"))
+    return materialized(now.join(ends, ["to_sheet", "to_coord"], "left_anti").where(finite(F.col("a")) & finite(F.col("b"))), "chains")
+
+
 def evaluate(todo: DataFrame, edges: DataFrame, known: DataFrame, formulas: list[str]) -> DataFrame:
     """``(sheet_id, coord, value, status)`` for ``todo(sheet_id, coord, kind, formula)``, given other cells' ``known(.., value)``.
 
+    Each round is one job: values that were found arrive at the cells that wait for them, and cells whose references are all there get theirs.
     status is ok, or cycle for cells that wait for each other, whose value is 0.
     """
     to = [F.col("sheet_id").alias("to_sheet"), F.col("coord").alias("to_coord")]
     gather = todo.select(*KEY, (F.col("kind") == "formula").alias("gather"))
-    edges = materialized(edges.join(gather, KEY), "edges")
-    needed = edges.groupBy(*KEY).agg(F.count("*").alias("needed"))
-    left = materialized(todo.select(*KEY, "kind", "formula").join(needed, KEY, "left").fillna(0, ["needed"]), "todo")
     pending = todo.select(*to, F.lit(True).alias("waits"))
-    values = known.select(*to, F.col("value").alias("v"), F.lit(True).alias("there"))
-    marked = edges.join(pending, ["to_sheet", "to_coord"], "left").join(values, ["to_sheet", "to_coord"], "left")
+    values = known.select(*to, F.col("value").alias("v"))
+    marked = edges.join(gather, KEY).join(pending, ["to_sheet", "to_coord"], "left").join(values, ["to_sheet", "to_coord"], "left")
     v = F.when(F.col("own"), F.lit(0.0)).otherwise(F.col("v"))
     marked = materialized(marked.select(*KEY, "ref_no", "gather", "to_sheet", "to_coord", v.alias("v"), (F.col("waits").isNotNull() & ~F.col("own")).alias("waits")), "marked")
+    needed = marked.groupBy(*KEY).agg(F.count("*").alias("needed"))
+    left = materialized(todo.select(*KEY, "kind", "formula").join(needed, KEY, "left").fillna(0, ["needed"]), "todo")
     waiting = marked.where("waits").drop("waits", "v")
-    arrived = marked.where("not waits").select(*KEY, "ref_no", "gather", "v")
+    empty = [F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), F.lit(None).cast("struct<ref_no:int,v:double>").alias("last"), F.array().cast("array<struct<ref_no:int,v:double>>").alias("refs")]
+    partial, chains, round_ = _gathered(_arrivals(marked.where("not waits"))), None, 0
     done: list[DataFrame] = []
     while True:
-        got = arrived.groupBy(*KEY).agg(
-            F.count("*").alias("n"), F.sum("v").alias("total"), F.max_by(F.coalesce("v", F.lit(0.0)), "ref_no").alias("last"), F.collect_list(F.when(F.col("gather"), F.struct("ref_no", "v"))).alias("refs")
-        )
         # Cells without references are ready at once; later only those that something arrived for can be.
-        ready = left.join(got, KEY, "inner" if done else "left").where("coalesce(n, 0) = needed")
-        # Children are summed; only formulas, with a few references each, gather theirs.
-        ready = ready.withColumn("refs", F.when(F.col("kind") == "formula", F.map_from_entries("refs")))
-        new = materialized(_computed(ready, formulas), "values")
-        if new.isEmpty():
+        rows = left.join(partial, KEY, "inner" if round_ else "left").withColumn("ready", F.coalesce("n", F.lit(0)) == F.col("needed"))
+        rows = _with_values(rows.withColumn("pairs", F.col("refs")).withColumn("refs", F.when(F.col("ready"), F.map_from_entries("refs"))), formulas)
+        rows = rows.select(*KEY, "n", "total", "last", F.col("pairs").alias("refs"), "ready", "value")
+        if chains is not None and done:
+            found = chains.join(done[-1].select(*to, "value"), ["to_sheet", "to_coord"]).select(*KEY, *empty, F.lit(True).alias("ready"), (F.col("a") * F.col("value") + F.col("b")).alias("value"))
+            rows = rows.union(found)
+        seen = Observation()
+        table = materialized(rows.observe(seen, F.coalesce(F.count_if("ready"), F.lit(0)).alias("n")), "values")
+        if not seen.get["n"]:
             break
-        done.append(new)
-        more = waiting.join(new.select(*to, F.col("value").alias("v")), ["to_sheet", "to_coord"]).select(*KEY, "ref_no", "gather", "v")
-        arrived = materialized(arrived.join(new, KEY, "left_anti").union(more), "arrived")
+        done.append(table.where("ready").select(*KEY, "value"))
+        state, round_ = table.where("not ready").select(*KEY, *_PARTIAL), round_ + 1
+        if round_ in ROUNDS_TO_CHAINS:
+            every = reduce(DataFrame.union, done)
+            open_ = left.join(every, KEY, "left_anti").join(state, KEY, "left").fillna(0, ["n", "total"]).withColumn("refs", F.coalesce("refs", empty[3]))
+            own = _chains(open_, waiting, formulas)
+            if not own.isEmpty():
+                chains = own if chains is None else chains.union(own)
+                left, waiting = left.join(own, KEY, "left_anti"), waiting.join(own.select(*KEY), KEY, "left_anti")
+                state = state.join(own.select(*KEY), KEY, "left_anti")
+        new = waiting.join(done[-1].select(*to, F.col("value").alias("v")), ["to_sheet", "to_coord"])
+        partial = _gathered(state.union(_arrivals(new)))
     computed = reduce(DataFrame.union, done) if done else left.select(*KEY, F.lit(0.0).alias("value")).limit(0)
-    rest = left.join(computed, KEY, "left_anti").select(*KEY, F.lit(0.0).alias("value"), F.lit("cycle").alias("status"))
+    rest = todo.select(*KEY).join(computed, KEY, "left_anti").select(*KEY, F.lit(0.0).alias("value"), F.lit("cycle").alias("status"))
     return computed.withColumn("status", F.lit("ok")).union(rest)
 
 
@@ -348,13 +422,16 @@ def changes(result: Calculated) -> DataFrame:
 def dirty(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Cells that depend on ``changed(sheet_id, coord)``, directly or through others: a frontier that grows until nothing is new."""
     back = edges.where("to_coord is not null").select(F.col("to_sheet"), F.col("to_coord"), *KEY)
-    front = seen = materialized(changed.select(*KEY).distinct(), "front")
+    fronts = [materialized(changed.select(*KEY).distinct(), "front")]
     while True:
-        step = back.join(front.select(F.col("sheet_id").alias("to_sheet"), F.col("coord").alias("to_coord")), ["to_sheet", "to_coord"], "left_semi").select(*KEY).distinct()
-        front = materialized(step.join(seen, KEY, "left_anti"), "front")
-        if front.isEmpty():
+        seen = reduce(DataFrame.union, fronts)
+        at = fronts[-1].select(F.col("sheet_id").alias("to_sheet"), F.col("coord").alias("to_coord"))
+        count = Observation()
+        step = back.join(at, ["to_sheet", "to_coord"], "left_semi").select(*KEY).distinct().join(seen, KEY, "left_anti")
+        front = materialized(step.observe(count, F.count("*").alias("n")), "front")
+        if not count.get["n"]:
             return seen
-        seen = materialized(seen.union(front), "seen")
+        fronts.append(front)
 
 
 def update(result: Calculated, edits: DataFrame) -> Calculated:

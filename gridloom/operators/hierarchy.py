@@ -18,22 +18,23 @@ from ..session import materialized
 def closure(records: DataFrame) -> DataFrame:
     """``(desc, anc, depth)`` for every record and each of its ancestors, itself included with depth 0.
 
-    Jumps double in each round, so a tree of depth d takes log2(d) of them. A cycle of parents is an error.
+    Jumps double in each round, so a tree of depth d takes log2(d) of them; three rounds are one job. A cycle of parents is an error.
     """
-    nodes = materialized(records.select("record_id", "parent_id").distinct(), "nodes")
+    nodes = records.select("record_id", "parent_id").distinct()
     pairs = nodes.select(F.col("record_id").alias("desc"), F.col("record_id").alias("anc"), F.lit(0).alias("depth"))
     known = nodes.select(F.col("record_id").alias("anc"))
     jumps = nodes.select(F.col("record_id").alias("desc"), F.col("parent_id").alias("anc"), F.lit(1).alias("depth"))
     jumps, rounds = materialized(jumps.join(known, "anc", "left_semi").select("desc", "anc", "depth"), "jumps"), 0
-    while not jumps.isEmpty():
-        if (rounds := rounds + 1) > 30:
+    while True:
+        for _ in range(3):
+            step = jumps.select(F.col("desc").alias("mid"), F.col("anc").alias("top"), F.col("depth").alias("more"))
+            longer = lambda x: x.join(step, x.anc == step.mid).select("desc", F.col("top").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"))  # noqa: E731, B023
+            pairs, jumps = pairs.union(longer(pairs)), longer(jumps)
+        pairs, jumps, rounds = materialized(pairs, "closure"), materialized(jumps, "jumps"), rounds + 3
+        if jumps.isEmpty():
+            return pairs
+        if rounds > 30 or (rounds > 6 and not jumps.where("desc = anc").isEmpty()):
             raise ValueError("the parents of some records form a cycle")
-        step = jumps.select(F.col("desc").alias("mid"), F.col("anc").alias("top"), F.col("depth").alias("more"))
-        longer = lambda x: x.join(step, x.anc == step.mid).select("desc", F.col("top").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"))  # noqa: E731, B023
-        pairs, jumps = materialized(pairs.union(longer(pairs)), "closure"), materialized(longer(jumps), "jumps")
-        if rounds > 6 and not jumps.where("desc = anc").isEmpty():
-            raise ValueError("the parents of some records form a cycle")
-    return pairs
 
 
 def with_kids(records: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
+def materialized(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, partitioned by a column if asked for, and read again."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
