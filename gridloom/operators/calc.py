@@ -76,13 +76,13 @@ def enumerate_cells(model: Model, dense: bool = False, tree: DataFrame | None =
     Contexts of rule indicators are those of stored cells; with ``dense`` all combinations of leaves, whose number
     is the product of the axes' sizes.
     """
-    axes, records = sheet_axes(model), hierarchy.with_kids(model.records)
+    axes, records, most = sheet_axes(model), hierarchy.with_kids(model.records), _most_axes(model)
     stored = model.cells.select(*KEY).join(axes, "sheet_id")
     indicators = model.rules.select("sheet_id", F.col("indicator_id").alias("i")).distinct()
     if dense:
         members = model.axes.where("not is_main").join(hierarchy.leaves(model.records), "analytic_id").groupBy("sheet_id", "axis_idx").agg(F.collect_list("record_id").alias("ids"))
         start = axes.where("main is not null").withColumn("coord", F.transform("ax", lambda _: F.lit(None).cast("long")))
-        for k in range(_most_axes(model)):
+        for k in range(most):
             own = members.where(F.col("axis_idx") == k).select("sheet_id", "ids")
             start = start.join(own, "sheet_id", "left").withColumn("m", F.explode_outer("ids")).withColumn("coord", F.when(F.col("m").isNotNull(), _put("coord", F.lit(k), F.col("m"))).otherwise(F.col("coord"))).drop("ids", "m")
         contexts = start
@@ -93,7 +93,7 @@ def enumerate_cells(model: Model, dense: bool = False, tree: DataFrame | None =
     tree = (hierarchy.closure(model.records) if tree is None else tree).join(records.select(F.col("record_id").alias("anc"), "has_kids", "analytic_id"), "anc")
     up = model.axes.select("sheet_id", "axis_idx", "analytic_id").join(tree, "analytic_id").select("sheet_id", "axis_idx", "desc", "anc", "has_kids")
     cells = cells.withColumn("kids", F.transform("coord", lambda _: F.lit(False)))
-    for k in range(_most_axes(model)):
+    for k in range(most):
         own = up.where(F.col("axis_idx") == k).select("sheet_id", F.col("desc").alias("m"), "anc", "has_kids")
         cells = cells.withColumn("m", F.get("coord", F.lit(k))).join(own, ["sheet_id", "m"], "left")
         there = F.col("anc").isNotNull()
@@ -397,6 +397,8 @@ def evaluate(todo: DataFrame, edges: DataFrame, known: DataFrame, formulas: list
 
 def calculate(model: Model, dense: bool = False) -> Calculated:
     """All cells of the model with their values."""
+    # Both are read many times; as files they keep the plans small.
+    model = replace(model, records=materialized(model.records, "records"), cells=materialized(model.cells, "cells"))
     tree = hierarchy.closure(model.records)
     cells = materialized(resolve(model, enumerate_cells(model, dense, tree)), "cells")
     bound, formulas = bind(model, cells, tree)

@@ -56,12 +56,12 @@ def ratio_consolidation(spark, d):
 
 
 _CHILD = """(select 1000 + n_nationkey as id, 10 + n_regionkey as parent_id, n_nationkey as so, coalesce(v, 0) as v from nation
-    left join (select c_nationkey, round(sum(c_acctbal)*100)/100 as v from customer where c_custkey % 7 = 0 group by 1) on c_nationkey = n_nationkey)"""
+    left join (select c_nationkey, round(sum(c_acctbal)*100)/100 as v from customer group by 1) on c_nationkey = n_nationkey)"""
 
 
 def _children(spark, d, how):
     tree = geography(spark, d).where("record_id >= 1000")
-    some = table(spark, d, "customer").where("c_custkey % 7 = 0").groupBy((F.col("c_nationkey") + 1000).cast("long").alias("record_id")).agg(numbers.rounded(F.sum("c_acctbal"), 2).alias("value"))
+    some = table(spark, d, "customer").groupBy((F.col("c_nationkey") + 1000).cast("long").alias("record_id")).agg(numbers.rounded(F.sum("c_acctbal"), 2).alias("value"))
     return rollup.over_children(some, tree, how).select("parent_id", r2("value"))
 
 
@@ -158,44 +158,47 @@ def scoped_rule_precedence(spark, d):
     return cells.join(best, ["n_nationkey", "q"], "left").select("n_nationkey", "q", F.coalesce("name", F.lit("default-sum")).alias("source"))
 
 
-_CALC = """with recursive f as (select year(o_orderdate) as y, quarter(o_orderdate) as q, n_regionkey + 10 as geo, sum(cast(round(o_totalprice*100) as bigint)) as cents, count(*) as n from orders join customer on o_custkey = c_custkey
-    join nation on c_nationkey = n_nationkey where o_orderdate < '1997-01-01' group by 1, 2, 3),
-  c(per, geo) as (select distinct p, g from (select unnest([y*10+q, y*10]) as p, geo from f), unnest([geo, 1]) u(g)),
-  v as (select c.per, c.geo, sum(f.cents) as cents, sum(f.n) as n from c join f on (c.per = f.y*10+f.q or c.per = f.y*10) and (c.geo = f.geo or c.geo = 1) group by 1, 2)"""
+_CALC = """with f as (select year(o_orderdate)*10000 + quarter(o_orderdate)*100 + month(o_orderdate) as m, c_nationkey + 1000 as g, sum(cast(round(o_totalprice*100) as bigint)) as cents, count(*) as n
+    from orders join customer on o_custkey = c_custkey group by 1, 2),
+  e as (select m, g, (select min(struct_pack(m := m, g := g)) from f) as first from f),
+  v as (select per, geo, cast(sum(cents) as bigint) as cents, cast(sum(n) as bigint) as n, sum(case when f.m = first.m and f.g = first.g then cents end) as edited from f join e using (m, g) join nation on g = n_nationkey + 1000,
+    unnest([m, m // 100 * 100, m // 10000 * 10000]) p(per), unnest([g, 10 + n_regionkey, 1]) q(geo) group by 1, 2)"""
 
 
 @query(f"""{_CALC} select cast(per as bigint) as per, cast(i as bigint) as ind, cast(geo as bigint) as geo, cast(case i when 100 then cents when 101 then n else floor(cents / n) end as double) as value,
-  case i when 102 then case when geo = 1 or per % 10 = 0 then 'rule:r2' else 'rule:r1' end else case when geo = 1 or per % 10 = 0 then 'default-sum' else 'manual' end end as source
+  case i when 102 then case when geo < 1000 or per % 100 = 0 then 'rule:r2' else 'rule:r1' end else case when geo < 1000 or per % 100 = 0 then 'default-sum' else 'manual' end end as source
   from v, (values (100), (101), (102)) t(i)""")
 def general_calculation(spark, d):
     got = calc.calculate(sales_model(spark, d)).values.where("coord[1] < 103")
     return got.select(*[F.col("coord")[i].alias(n) for i, n in enumerate(("per", "ind", "geo"))], "value", "source")
 
 
-@query("""with f as (select year(o_orderdate)*10 + quarter(o_orderdate) as per, n_regionkey + 10 as geo, count(*) as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
-  where o_orderdate < '1997-01-01' group by 1, 2)
-  select cast(per as bigint) as per, cast(geo as bigint) as geo, cast(sum(n) over (partition by geo order by per) as double) as closing from f""")
+@query(f"""{_CALC}, k as (select distinct m from f), t as (select m, row_number() over (order by m) as i from k),
+  r as (select f.m, g, n, i - row_number() over (partition by g order by i) as run from f join t using (m))
+  select cast(m as bigint) as per, cast(g as bigint) as geo, cast(sum(n) over (partition by g, run order by m) as double) as closing from r""")
 def time_recursion(spark, d):
-    # Previous quarters chain over years.
-    got = calc.calculate(sales_model(spark, d)).values.where("coord[1] = 103 and coord[2] > 1 and coord[0] % 10 > 0")
+    # The previous month's balance, or nothing where a nation has no orders in it.
+    got = calc.calculate(sales_model(spark, d)).values.where("coord[1] = 103 and coord[2] >= 1000 and coord[0] % 100 > 0")
     return got.select(F.col("coord")[0].alias("per"), F.col("coord")[2].alias("geo"), F.col("value").alias("closing"))
 
 
-@query(f"""{_CALC} select cast(case i when 100 then cents when 101 then n else floor(cents / n) end as double) as value, cast(per as bigint) as per, cast(i as bigint) as ind, cast(geo as bigint) as geo
-  from (select per, geo, case when (per in (19951, 19950)) and geo in (10, 1) then cents - coalesce((select sum(cents) from f where y = 1995 and q = 1 and geo = 10), 0) + 500 else cents end as cents, n from v), (values (100), (101), (102)) t(i)""")
+@query(f"""{_CALC} select cast(case i when 100 then new when 101 then n else floor(new / n) end as double) as value, cast(per as bigint) as per, cast(i as bigint) as ind, cast(geo as bigint) as geo
+  from (select per, geo, cents - coalesce(edited, 0) + case when edited is null then 0 else 500 end as new, n from v), (values (100), (101), (102)) t(i)""")
 def incremental_update(spark, d):
-    edits = spark.createDataFrame([("s", [19951, 100, 10], 500.0)], "sheet_id string, coord array<bigint>, value double")
-    got = calc.update(calc.calculate(sales_model(spark, d)), edits).values.where("coord[1] < 103")
+    model = sales_model(spark, d)
+    first = model.cells.where("coord[1] = 100").agg(F.min(F.struct(F.col("coord")[0].alias("m"), F.col("coord")[2].alias("g"))).alias("x")).where("x is not null")
+    edits = first.select(F.lit("s").alias("sheet_id"), F.array("x.m", F.lit(100).cast("long"), "x.g").alias("coord"), F.lit(500.0).alias("value"))
+    got = calc.update(calc.calculate(model), edits).values.where("coord[1] < 103")
     return got.select(*[F.col("coord")[i].alias(n) for i, n in enumerate(("per", "ind", "geo"))], "value")
 
 
-@query("""with recursive e(a, b) as (select l_orderkey, l_partkey + 1000000000 from lineitem where l_linenumber = 1 union all select l_suppkey + 2000000000, l_orderkey from lineitem where l_linenumber = 2),
-  r(x) as (select o_orderkey from orders where o_orderkey % 50 = 0 union select b from r join e on e.a = r.x) select cast(x as bigint) as id from r""")
+@query("""with recursive e(a, b) as (select distinct l_orderkey, l_partkey + 1000000000 from lineitem union all select distinct l_suppkey + 2000000000, l_orderkey from lineitem),
+  r(x) as (select s_suppkey + 2000000000 from supplier where s_acctbal < 0 union select b from r join e on e.a = r.x) select cast(x as bigint) as id from r""")
 def dirty_reachability(spark, d):
-    items = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    e = items.where("l_linenumber = 1").selectExpr("l_orderkey as a", "l_partkey + 1000000000 as b").union(items.where("l_linenumber = 2").selectExpr("l_suppkey + 2000000000", "l_orderkey"))
+    items = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
+    e = items.selectExpr("l_orderkey as a", "l_partkey + 1000000000 as b").union(items.selectExpr("l_suppkey + 2000000000", "l_orderkey"))
     edges = e.select(F.lit("s").alias("sheet_id"), F.array("b").alias("coord"), F.lit("s").alias("to_sheet"), F.array("a").alias("to_coord"))
-    start = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.lit("s").alias("sheet_id"), F.array("o_orderkey").alias("coord"))
+    start = table(spark, d, "supplier").where("s_acctbal < 0").select(F.lit("s").alias("sheet_id"), F.array(F.col("s_suppkey") + 2000000000).alias("coord"))
     return calc.dirty(edges, start).select(F.col("coord")[0].alias("id"))
 
 

@@ -85,9 +85,9 @@ def query_group_sum(spark, d):
     return reading.group_sum(rows, "nation")
 
 
-@query(f"select cast(c_nationkey as bigint) as label, {', '.join(f'''round(sum(case when o_orderstatus = '{s}' then o_totalprice else 0 end)*100)/100 as {s}''' for s in 'FOP')} from {_JOINED} where o_orderkey % 11 = 0 group by 1")
+@query(f"select cast(c_nationkey as bigint) as label, {', '.join(f'''round(sum(case when o_orderstatus = '{s}' then o_totalprice else 0 end)*100)/100 as {s}''' for s in 'FOP')} from {_JOINED} group by 1")
 def chart_series(spark, d):
-    rows = _orders_by_nation(spark, d).where("o_orderkey % 11 = 0").select(F.col("c_nationkey").cast("long").alias("nation"), "o_orderstatus", F.col("o_totalprice").alias("value"))
+    rows = _orders_by_nation(spark, d).select(F.col("c_nationkey").cast("long").alias("nation"), "o_orderstatus", F.col("o_totalprice").alias("value"))
     return reading.series(rows, "nation", "o_orderstatus", list("FOP")).select("label", r2("F"), r2("O"), r2("P"))
 
 
@@ -198,10 +198,10 @@ def group_sum_verify(spark, d):
     return got.select((F.col("parent_id") - 1000).alias("parent_id"), "columns", "matched", "ok")
 
 
-@query("""select r.k as range_id, sum(l_quantity) as total, cast(count(*) as bigint) as n from (select s_suppkey as k, s_suppkey * 7 as lo, s_suppkey * 7 + 2500 as hi from supplier) r join lineitem on l_orderkey between lo and hi and l_linenumber = 1 group by 1""")
+@query("""select r.k as range_id, sum(l_quantity) as total, cast(count(*) as bigint) as n from (select s_suppkey as k, s_suppkey * 7 as lo, s_suppkey * 7 + 2500 as hi from supplier) r join lineitem on l_orderkey between lo and hi group by 1""")
 def range_sum(spark, d):
     ranges = table(spark, d, "supplier").select(F.col("s_suppkey").alias("range_id"), F.lit("s").alias("sheet_id"), (F.col("s_suppkey") * 7).alias("low"), (F.col("s_suppkey") * 7 + 2500).alias("high"))
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.lit("s").alias("sheet_id"), F.col("l_orderkey").alias("row"), F.col("l_quantity").alias("value"))
+    rows = table(spark, d, "lineitem").select(F.lit("s").alias("sheet_id"), F.col("l_orderkey").alias("row"), F.col("l_quantity").alias("value"))
     return reading.between_rows(ranges, rows)
 
 
@@ -211,9 +211,10 @@ def formula_groups(spark, d):
     return rules.formula_groups(cells, ["types"]).withColumn("types", F.array_join("types", ","))
 
 
-@query("select user_id, case when count(distinct event_type) = 1 then min(event_type) else '__per_cell__' end as formula from events where value > 450 group by 1")
+@query("select user_id, cast(date_trunc('week', ts) as date) as week, case when count(distinct event_type) = 1 then min(event_type) else '__per_cell__' end as formula from events group by 1, 2")
 def formula_of_indicator(spark, d):
-    return rules.formula_of_indicator(table(spark, d, "events").where("value > 450").select("user_id", F.col("event_type").alias("formula")), ["user_id"])
+    rows = table(spark, d, "events").select("user_id", F.date_trunc("week", "ts").cast("date").alias("week"), F.col("event_type").alias("formula"))
+    return rules.formula_of_indicator(rows, ["user_id", "week"])
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, '{\"k\":\"' || json_extract_string(props, '$.k') || '\",\"t\":\"' || event_type || '\"}' as props from events")
@@ -269,9 +270,9 @@ def latest_edits(spark, d):
     return stream.latest(rows, ["o_custkey"]).select("o_custkey", "value")
 
 
-@query("select cast(o_orderkey as bigint) as block_id, cast(l_linenumber as int) as col, l_quantity as value from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 40")
+@query("select cast(o_orderkey as bigint) as block_id, cast(l_linenumber as int) as col, l_quantity as value from lineitem join orders on l_orderkey = o_orderkey")
 def pasted_cells(spark, d):
-    items = table(spark, d, "lineitem").where("l_quantity > 40")
+    items = table(spark, d, "lineitem")
     cells = items.select(F.col("l_orderkey").alias("block_id"), F.lit(0).alias("row"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("value"))
     blocks = crosstab.copied(cells.select("block_id", "row", F.col("n").alias("col"), "value"))
     places = cells.withColumn("col", F.row_number().over(Window.partitionBy("block_id").orderBy("n", "value")) - 1)
@@ -279,9 +280,10 @@ def pasted_cells(spark, d):
 
 
 @query("""with b as (select l_suppkey as sheet_id, l_orderkey * 10 + l_linenumber as pos, l_linenumber % 4 as indent from lineitem)
-  select sheet_id, pos, (select max(p.pos) from b p where p.sheet_id = b.sheet_id and p.pos < b.pos and p.indent < b.indent) as parent_pos from b where pos < 20000""")
+  select sheet_id, pos, case when indent > 0 then greatest(max(case when indent < 1 then pos end) over w, case when indent > 1 then max(case when indent = 1 then pos end) over w end, case when indent > 2 then max(case when indent = 2 then pos end) over w end) end as parent_pos
+  from b window w as (partition by sheet_id order by pos rows between unbounded preceding and 1 preceding)""")
 def indent_hierarchy(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sheet_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), (F.col("l_linenumber") % 4).alias("indent")).where("pos < 20000")
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sheet_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), (F.col("l_linenumber") % 4).alias("indent"))
     return hierarchy.parents_by_indent(rows).select("sheet_id", "pos", "parent_pos")
 
 
