@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
@@ -67,9 +67,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(hung.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        seen = Observation()
+        state = [F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("h")]
+        now = written(hung.union(small.select("u", F.col("m").alias("v"))).distinct().observe(seen, *state), "edges")
+        if seen.get == before:
             break
-        before = state
+        before = seen.get
     return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")

@@ -258,7 +258,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least:
 def linked(docs: DataFrame, rows: DataFrame, found: DataFrame, shingle: int, least: float) -> DataFrame:
     """``(id, root)`` of the classes that verified candidates connect. ``rows(s_id, s_text, id)`` says which texts a class has."""
     reps = rows.groupBy("id").agg(F.min(F.struct("s_id", "s_text")).alias("r")).select("id", "r.s_id", "r.s_text")
-    todo, links, most, root = written(found, "pairs"), None, 1, None
+    todo, links, most, root = written(found, "pairs"), None, 4, None
     # A pair is tried with its greater id, which has few: the pairs with one posting list's smallest member are many.
     order = Window.partitionBy("b").orderBy("d", "a")
     while not todo.isEmpty():
@@ -271,7 +271,7 @@ def linked(docs: DataFrame, rows: DataFrame, found: DataFrame, shingle: int, lea
         root = written(components(links), "roots")
         of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))  # noqa: E731, B023
         rest = ranked.where(F.col("n") > most).join(of("a"), "a", "left").join(of("b"), "b", "left")
-        todo, most = written(rest.where("coalesce(r_a, a) <> coalesce(r_b, b)").select("a", "b", "d"), "pairs"), most * 4
+        todo, most = written(rest.where("coalesce(r_a, a) <> coalesce(r_b, b)").select("a", "b", "d"), "pairs"), most * 16
     if root is None:
         return rows.select("id", F.col("id").alias("root")).limit(0)
     return root.select(F.col("node").alias("id"), "root")
