@@ -59,6 +59,10 @@ Node = Ref | Num | Op
 FUNCTIONS = {"IF": (3, 3), "SUM": (1, 255), "AVERAGE": (1, 255), "MIN": (1, 255), "MAX": (1, 255), "ABS": (1, 1), "INT": (1, 1), "ROUND": (1, 2)}
 PREVIOUS, BACK, FORWARD = "предыдущий", "назад", "вперед"
 KEYWORDS = ("AVERAGE", "LAST")
+#: The whole formula of a cell that is to have no value.
+EMPTY = "__empty__"
+# Words of the older conditional dialect.
+LEGACY = {"if": "если", "then": "то", "elif": "иначе_если", "else": "иначе", "end": "конец_если"}
 
 _TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<op><=|>=|!=|<>|==|[-+*/<>=(),;])|(?P<word>[^\W\d]\w*))")
 _SHIFT = re.compile(rf"(?:.*\.)?(?:(?P<prev>{PREVIOUS})|(?P<way>{BACK}|{FORWARD})\(\s*(?P<n>\d+)\s*\))", re.IGNORECASE | re.DOTALL)
@@ -294,3 +298,52 @@ def linear_in(node: Node, unknown: Ref, of: Callable[[Ref], Column]) -> tuple[Co
 
     got = walk(node)
     return None if got is None or got[0] is None else (got[0], got[1])
+
+
+def from_legacy(text: str) -> str:
+    """A formula of the older dialect, with conditions in words and members chained by points, in the present language."""
+    words = "|".join(sorted(LEGACY.values(), key=len, reverse=True))
+    parts = [p.strip() for p in re.split(rf"(?i)(?<!\w)({words})(?!\w)", re.sub(r"\]\s*\.\s*\[", "][", text))]
+    parts, at = [p for p in parts if p], 0
+    name = {v: k for k, v in LEGACY.items()}
+
+    def word() -> str | None:
+        return name.get(parts[at].lower()) if at < len(parts) else None
+
+    def expect(what: str) -> None:
+        nonlocal at
+        if word() != what:
+            raise FormulaError(f"{LEGACY[what]} is missing in {text}")
+        at += 1
+
+    def run() -> str:
+        """Texts and whole conditions up to a word that ends them."""
+        nonlocal at
+        out = []
+        while at < len(parts) and word() in (None, "if"):
+            if word() == "if":
+                at += 1
+                out.append(branch())
+                expect("end")
+            else:
+                out.append(parts[at])
+                at += 1
+        return " ".join(out)
+
+    def branch() -> str:
+        nonlocal at
+        test = run()
+        expect("then")
+        yes, no = run(), "0"
+        if word() == "elif":
+            at += 1
+            no = branch()
+        elif word() == "else":
+            at += 1
+            no = run()
+        return f"IF({test}, {yes}, {no})"
+
+    got = run()
+    if at < len(parts):
+        raise FormulaError(f"unexpected {parts[at]} in {text}")
+    return got

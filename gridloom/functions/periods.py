@@ -72,6 +72,20 @@ def sort_key(key: Column) -> Column:
     return F.struct(start(key).alias("start"), (-rank(key)).alias("coarse"))
 
 
+# Names of quarters and halves.
+QUARTERS = ("1-й квартал", "2-й квартал", "3-й квартал", "4-й квартал")
+HALVES = ("1-е полугодие", "2-е полугодие")
+
+
+def name(key: Column) -> Column:
+    """What a period is called: ``Январь 2026``, ``1-й квартал 2026``, ``1-е полугодие 2026`` or ``2026``; other texts stay."""
+    k, year = level(key), F.substring(key, 1, 4)
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.try_cast("int") - 1)
+    months = [m.capitalize() for m in MONTHS["ru"].split()]
+    word = F.when(k == "M", pick(months, F.substring(key, 6, 2))).when(k == "Q", pick(QUARTERS, F.substring(key, 7, 1))).when(k == "H", pick(HALVES, F.substring(key, 7, 1)))
+    return F.when(k == "Y", year).when(k.isNotNull(), F.concat(word, F.lit(" "), year)).otherwise(key)
+
+
 # Month names in headers.
 MONTHS = {
     "ru": "январь февраль март апрель май июнь июль август сентябрь октябрь ноябрь декабрь",
@@ -98,6 +112,18 @@ def from_header(text: Column) -> Column:
     return out.when(t.rlike(r"^(19|20)\d\d(\s*(год|г\.?|year))?$"), F.concat(year, F.lit("-Y")))
 
 
+def from_counter(text: Column, base_year: int, year: Column | None = None) -> Column:
+    """Key of ``N год`` (the N-th year from ``base_year``) and of ``Qn``, ``Hn``, ``Yn``, whose ``year`` stands in another row; without one it is ``base_year`` + n."""
+    t = F.upper(F.trim(text))
+    n = F.regexp_extract(t, r"(\d+)", 1).try_cast("int")
+    own = (F.lit(base_year) + n if year is None else F.coalesce(year, F.lit(base_year) + n)).cast("string")
+    return (
+        F.when(t.rlike(r"^\d{1,2}\s*ГОД$"), F.concat((F.lit(base_year - 1) + n).cast("string"), F.lit("-Y")))
+        .when(t.rlike(r"^Y\d+$"), F.concat(own, F.lit("-Y")))
+        .when(t.rlike(r"^(Q[1-4]|H[12])$"), F.concat(own, F.lit("-"), t))
+    )
+
+
 def excel_serial(date: Column) -> Column:
     """Days since 1899-12-30, as spreadsheets count."""
     return F.datediff(date, F.lit("1899-12-30").cast("date"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import numbers, periods
-from ..functions.formula import KEYWORDS, linear_in, parse, references, to_column
+from ..functions.formula import EMPTY, KEYWORDS, linear_in, parse, references, to_column
 from ..session import materialized
 from . import hierarchy
 
@@ -141,14 +141,17 @@ def resolve(model: Model, cells: DataFrame) -> DataFrame:
     formula = F.when(F.col("has_own"), F.trim("cell_formula")).when(~F.col("manual"), F.col("best.f"))
     word = F.upper(formula).isin(*KEYWORDS)
     cells = cells.withColumn("formula", formula)
+    emptied = F.coalesce(F.lower("formula") == EMPTY, F.lit(False))
     kind = (
-        F.when(word & F.col("inner"), F.upper("formula"))
+        F.when(emptied, "stored")
+        .when(word & F.col("inner"), F.upper("formula"))
         .when(F.col("formula").isNotNull() & ~word, "formula")
         .when(F.col("inner") & ~F.col("manual") & (F.coalesce("cell_rule", F.lit("")) != "empty"), "SUM")
         .otherwise("stored")
     )
     source = (
-        F.when(F.col("has_own"), "cell")
+        F.when(emptied, "cell-empty")
+        .when(F.col("has_own"), "cell")
         .when(F.col("manual"), "manual")
         .when(F.col("best").isNotNull(), F.concat(F.lit("rule:"), F.col("best.rule_id")))
         .when(F.col("cell_rule") == "empty", "cell-empty")
@@ -157,7 +160,7 @@ def resolve(model: Model, cells: DataFrame) -> DataFrame:
     )
     open_ = F.filter("ax", lambda x: F.get("kids", x["axis_idx"]))
     axis = F.array_min(F.transform(open_, lambda x: F.struct(F.when(x["is_period"], 0).when(x["is_main"], 1).otherwise(2).alias("p"), x["axis_idx"].alias("i")))).getField("i")
-    value = F.when(F.coalesce(F.col("cell_rule"), F.lit("")) != "empty", numbers.parsed(F.col("value_str")))
+    value = F.when((F.coalesce(F.col("cell_rule"), F.lit("")) != "empty") & ~emptied, numbers.parsed(F.col("value_str")))
     return cells.select(*KEY, "ax", "main", value.alias("stored"), "manual", "formula", source.alias("source"), kind.alias("kind"), axis.alias("axis"))
 
 

@@ -90,3 +90,19 @@ def with_default_main(axes: DataFrame) -> DataFrame:
 def without_model(tables: dict[str, DataFrame], model_id: str) -> dict[str, DataFrame]:
     """All tables that carry a model_id without one model's rows."""
     return {k: t.where(~F.col("model_id").eqNullSafe(F.lit(model_id))) if "model_id" in t.columns else t for k, t in tables.items()}
+
+
+def without_range(cells: DataFrame, selected: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells after the selected ones were deleted; formulas stay."""
+    hit = selected.select(*keys).distinct().withColumn("_s", F.lit(True))
+    return cells.join(hit, keys, "left").where(F.col("_s").isNull() | (F.col("rule") != "manual")).drop("_s")
+
+
+def expected_but_missing(expected: DataFrame, made: DataFrame, key: str) -> DataFrame:
+    """Of what was expected, say sheets of a workbook, what isn't there."""
+    return expected.select(key).distinct().join(made.select(key), key, "left_anti")
+
+
+def records_replaced(records: DataFrame, new: DataFrame) -> DataFrame:
+    """Records with those of the same id replaced and others added."""
+    return records.join(new.select("record_id"), "record_id", "left_anti").unionByName(new.select(*records.columns))

@@ -128,3 +128,23 @@ def numbered_siblings(records: DataFrame) -> DataFrame:
     w = Window.partitionBy("parent_id", F.lower("name")).orderBy("sort_order", "record_id")
     n = F.row_number().over(w)
     return records.withColumn("name", F.when(n > 1, F.concat("name", F.lit(" #"), n.cast("string"))).otherwise(F.col("name")))
+
+
+def nearest_common(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b, anc, depth)``: the lowest node above both of each of ``pairs(a, b)``, the nodes themselves included; ``tree`` is a closure."""
+    up = lambda c, d: tree.select(F.col("desc").alias(c), "anc", F.col("depth").alias(d))
+    both = pairs.join(up("a", "d1"), "a").join(up("b", "d2"), ["b", "anc"])
+    best = both.groupBy("a", "b").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("depth"), "anc")).alias("m"))
+    return best.select("a", "b", "m.anc", "m.depth")
+
+
+def from_levels(rows: DataFrame, levels: list[str], analytic_id: str) -> DataFrame:
+    """Records from a table with one column for each level, top first: one record for each distinct path, numbered by name among its siblings.
+
+    A path ends at its first null; ids are hashes of the path.
+    """
+    paths = [F.array(*levels[: k + 1]) for k in range(len(levels))]
+    each = rows.select(F.explode(F.array(*paths)).alias("p")).where(F.forall("p", lambda x: x.isNotNull())).distinct()
+    parent = F.when(F.size("p") > 1, F.xxhash64(F.slice("p", 1, F.size("p") - 1)))
+    records = each.select(F.xxhash64("p").alias("record_id"), F.lit(analytic_id).alias("analytic_id"), parent.alias("parent_id"), F.element_at("p", -1).alias("name"))
+    return records.withColumn("sort_order", F.row_number().over(Window.partitionBy("parent_id").orderBy("name")) - 1)

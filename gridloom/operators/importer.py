@@ -16,7 +16,7 @@ from . import hierarchy, reading
 
 # Version labels and words for total columns.
 VERSIONS = {"факт": "fact", "fact": "fact", "actual": "fact", "план": "plan", "plan": "plan", "budget": "plan", "прогноз": "forecast", "forecast": "forecast"}
-TOTALS = r"(?i)^(итого|всего|total|ytd|год|year)"
+TOTALS = r"(?iu)^(итого|всего|total|ytd|год|year)"
 
 
 def period_columns(grid: DataFrame, rows: int = 20) -> DataFrame:
@@ -51,10 +51,6 @@ def version_row(grid: DataFrame) -> DataFrame:
     return rows.join(best, ["sheet_id", "row"]).select("sheet_id", "row", "col", "version")
 
 
-def total_columns(grid: DataFrame) -> DataFrame:
-    return grid.where(F.trim("value").rlike(TOTALS)).groupBy("sheet_id", "col").agg(F.min("row").alias("row"))
-
-
 def leaf_columns(columns: DataFrame) -> DataFrame:
     """``columns(sheet_id, col, period_key)`` with ``is_total`` and, for leaves, ``leaf_no`` from 0."""
     rank = periods.rank(F.col("period_key"))
@@ -172,9 +168,9 @@ def first_formulas(cells: DataFrame) -> DataFrame:
 
 
 def cell_rule(formula: Column, fill: Column, has_children: Column) -> Column:
-    """manual, formula or sum_children for an imported cell: inputs are yellow or without formula, external formulas keep their value."""
+    """manual, formula or sum_children for an imported cell: inputs (yellow, beige) without a formula and formulas of other workbooks keep their value."""
     f = F.trim(F.coalesce(formula, F.lit("")))
-    return F.when(text.colour_name(fill).eqNullSafe(F.lit("yellow")) | is_external(f), "manual").when(f.startswith("="), "formula").when(has_children, "sum_children").otherwise("manual")
+    return F.when((text.is_input_fill(fill) & ~f.startswith("=")) | is_external(f), "manual").when(f.startswith("="), "formula").when(has_children, "sum_children").otherwise("manual")
 
 
 def first_of_each_row(chunks: DataFrame) -> DataFrame:

@@ -123,3 +123,88 @@ def report_lines(cells: DataFrame, records: DataFrame, most: int = 2000) -> Data
     """A sheet as text, ``name | name: value``, its first ``most`` lines (a report's length)."""
     line = F.concat(F.replace(F.col("place"), F.lit(" · "), F.lit(" | ")), F.lit(": "), F.coalesce("value_str", F.lit("")))
     return described(cells, records).select("sheet_id", line.alias("line")).orderBy("sheet_id", "line").limit(most)
+
+
+def rejected(edits: DataFrame, permissions: DataFrame, axes: dict[str, str], user: str, keys: list[str]) -> DataFrame:
+    """Edits that a user may not make: those of cells outside the members whose editing is granted."""
+    return edits.join(visible(edits, permissions, axes, user, "can_edit").select(*keys).distinct(), keys, "left_anti")
+
+
+def shown_members(records: DataFrame, least: str, listed: Column | None = None) -> DataFrame:
+    """Members that a sheet shows: those of an explicit list where it has one, else periods of a level or coarser; ``listed`` is an array of ids or null."""
+    rank = periods.rank(F.col("period_key"))
+    by_level = rank.isNull() | (rank >= periods.LEVELS[least])
+    return records.where(by_level if listed is None else F.coalesce(F.array_contains(listed, F.col("record_id")), by_level))
+
+
+def pinned(cells: DataFrame, axis: str, member) -> DataFrame:
+    """The slice of a cube at one member, without the axis."""
+    return cells.where(F.col(axis) == member).drop(axis)
+
+
+def with_members(cells: DataFrame, one, other, coord: str = "coord") -> DataFrame:
+    """Cells whose coordinates hold two members, wherever they stand."""
+    return cells.where(F.array_contains(coord, one) & F.array_contains(coord, other))
+
+
+def longest_prefix(asked: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
+    """``(coord, value)``: for each asked coordinate the value of the longest known one that it begins with, of ``least`` members or more."""
+    n = F.size("coord")
+    cut = asked.where(n >= least).select("coord", F.explode(F.transform(F.sequence(F.lit(least), n), lambda k: F.slice("coord", 1, k))).alias("part"))
+    met = cut.join(known.select(F.col("coord").alias("part"), "value"), "part")
+    return met.groupBy("coord").agg(F.max_by("value", F.size("part")).alias("value"))
+
+
+def expanded(cells: DataFrame, records: DataFrame, axis: str, parent) -> DataFrame:
+    """The cells of a member's direct children along one axis, as they are fetched when it is opened."""
+    kids = records.where(F.col("parent_id") == parent).select(F.col("record_id").alias(axis))
+    return cells.join(kids, axis, "left_semi")
+
+
+def grid(facts: DataFrame, row: str, column: str, rows: DataFrame, columns: DataFrame, shown: list, value: str = "value") -> DataFrame:
+    """Pivot grid: a row for each node of ``rows``, a column for each of the nodes ``shown`` of ``columns`` (closures), coarser ones holding their totals."""
+    from .rollup import roll_up
+
+    return crosstab(roll_up(facts, {row: rows, column: columns}, [value]), row, column, shown, value)
+
+
+def mismatches(both: DataFrame, most: int = 30) -> DataFrame:
+    """The ``most`` cells (a report's length) of ``compared`` that differ most."""
+    return both.where(~F.col("ok")).orderBy(F.desc("error"), *[c for c in both.columns if c not in ("value", "expected", "error", "ok")]).limit(most)
+
+
+def as_json(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells as JSON texts, one a row; what is missing is left out."""
+    return cells.select(*keys, F.to_json(F.struct(*cells.columns)).alias("json"))
+
+
+def counts(cells: DataFrame, by: list[str]) -> DataFrame:
+    """How many cells and how many formulas each sheet has."""
+    return cells.groupBy(*by).agg(F.count("*").alias("cells"), F.count_if(F.col("rule") == "formula").alias("formulas"))
+
+
+def members_with_rights(records: DataFrame, analytics: DataFrame, models: DataFrame, permissions: DataFrame, user: str) -> DataFrame:
+    """Members of all models with their dimension's and model's name and a user's rights, which are none where nothing is granted."""
+    own = permissions.where(F.col("user_id") == user).select("record_id", "can_view", "can_edit")
+    named = records.join(analytics.select("analytic_id", "model_id", F.col("name").alias("analytic")), "analytic_id").join(models.select("model_id", F.col("name").alias("model")), "model_id")
+    rights = [F.coalesce(c, F.lit(False)).alias(c) for c in ("can_view", "can_edit")]
+    return named.join(own, "record_id", "left").select("record_id", "name", "analytic", "model", *rights)
+
+
+def sheet_bundle(sheets: DataFrame, axes: DataFrame, records: DataFrame, settings: DataFrame) -> DataFrame:
+    """All that a sheet needs to be shown: a row for each member of each of its axes, with the sheet's name and its settings.
+
+    ``settings(sheet_id, json)`` may be missing. Members aren't packed into arrays, so a dimension of any size passes.
+    """
+    members = axes.join(records.select("analytic_id", "record_id", "parent_id", "sort_order", F.col("name").alias("member")), "analytic_id")
+    return sheets.select("sheet_id", F.col("name").alias("sheet")).join(settings, "sheet_id", "left").join(members, "sheet_id").select(
+        "sheet_id", "sheet", F.col("json").alias("settings"), "axis_idx", "analytic_id", "is_main", "record_id", "parent_id", "sort_order", "member"
+    )
+
+
+def model_tree(models: DataFrame, sheets: DataFrame, analytics: DataFrame) -> DataFrame:
+    """``(model_id, name, sheets, analytics)``: each model with the names of its sheets and dimensions in order."""
+    names = lambda df, as_: df.groupBy("model_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sort_order", "name"))), lambda x: x["name"]).alias(as_))
+    none = F.array().cast("array<string>")
+    both = models.join(names(sheets, "sheets"), "model_id", "left").join(names(analytics, "analytics"), "model_id", "left")
+    return both.withColumns({c: F.coalesce(c, none) for c in ("sheets", "analytics")}).select("model_id", "name", "sheets", "analytics")

@@ -71,3 +71,29 @@ def spread(rules: DataFrame, indicators: DataFrame) -> DataFrame:
 def source_label(own: Column, manual: Column, rule_id: Column, inner: Column) -> Column:
     """Where a cell's formula comes from."""
     return F.when(own, "cell").when(manual, "cell-manual").when(rule_id.isNotNull(), F.concat(F.lit("rule:"), rule_id)).when(inner, "default-sum").otherwise("manual")
+
+
+def in_order(rules: DataFrame, indicator: int | None = None) -> DataFrame:
+    """Rules as they are listed: by indicator, highest priority first, then by age."""
+    own = rules if indicator is None else rules.where(F.col("indicator_id") == indicator)
+    order = Window.partitionBy("sheet_id", "indicator_id").orderBy(F.desc("priority"), "rule_id")
+    return own.withColumn("place", F.row_number().over(order))
+
+
+def replaced(rules: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` rules instead of all that their indicators had."""
+    return rules.join(new.select("sheet_id", "indicator_id").distinct(), ["sheet_id", "indicator_id"], "left_anti").unionByName(new.select(*rules.columns))
+
+
+def released(cells: DataFrame, promoted_cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``cells(.., rule, formula)`` after the formulas of some became rules: those cells follow the rules from then on."""
+    hit = promoted_cells.select(*keys).distinct().withColumn("_p", F.lit(True))
+    both = cells.join(hit, keys, "left")
+    return both.withColumns({"formula": F.when(F.col("_p"), F.lit(None).cast("string")).otherwise(F.col("formula")), "rule": F.when(F.col("_p"), "formula").otherwise(F.col("rule"))}).select(*cells.columns)
+
+
+def displayed(model) -> DataFrame:
+    """``(sheet_id, coord, formula, source, kind)`` of every cell: the formula that it shows and where that comes from."""
+    from . import calc
+
+    return calc.resolve(model, calc.enumerate_cells(model)).select("sheet_id", "coord", "formula", "source", "kind")

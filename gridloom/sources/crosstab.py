@@ -20,6 +20,11 @@ def exported(cells: DataFrame, rows: DataFrame, columns: list[tuple[int, str]])
     return tree.join(wide, "row_id", "left").orderBy("tree_path").drop("tree_path", "row_id")
 
 
+def dimension(records: DataFrame) -> DataFrame:
+    """Records in tree order with ``shown``, their name indented by two spaces a level, and their place in ``tree_path``."""
+    return hierarchy.in_tree_order(records).withColumn("shown", F.concat(F.repeat(F.lit("  "), F.col("depth")), "name"))
+
+
 def imported(table: DataFrame, rows: DataFrame, columns: dict[str, int], label: str = "name") -> DataFrame:
     """``(row_id, col_id, value_str)`` of a crosstab; rows are found by their trimmed, lower-cased name, the first by order if several have it."""
     long = table.unpivot([label], list(columns), "title", "value_str").where("value_str is not null")

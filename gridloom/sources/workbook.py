@@ -18,23 +18,26 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file string, sheet_id string, row int, col int, value string, formula string, indent int, fill string"
+SCHEMA = "file string, sheet_id string, row int, col int, value string, formula string, indent int, fill string, bold boolean, outline int"
 # The name spaces of the format.
 _N = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def _styles(book: zipfile.ZipFile) -> list[tuple[int, str | None]]:
-    """Indent and fill colour of each cell style."""
+def _styles(book: zipfile.ZipFile) -> list[tuple[int, str | None, bool]]:
+    """Indent, fill colour (``theme:<n>`` for the theme's) and bold font of each cell style."""
     if "xl/styles.xml" not in book.namelist():
         return []
     root = ElementTree.fromstring(book.read("xl/styles.xml"))
-    fills = [f.get("rgb") if (f := x.find(".//m:fgColor", _N)) is not None else None for x in root.findall("m:fills/m:fill", _N)]
-    out = []
+    fills, out = [], []
+    for x in root.findall("m:fills/m:fill", _N):
+        f = x.find(".//m:fgColor", _N)
+        fills.append(None if f is None else f.get("rgb") or (f"theme:{f.get('theme')}" if f.get("theme") else None))
+    bold = [f.find("m:b", _N) is not None and f.find("m:b", _N).get("val", "1") != "0" for f in root.findall("m:fonts/m:font", _N)]
     for x in root.findall("m:cellXfs/m:xf", _N):
         a = x.find("m:alignment", _N)
-        k = int(x.get("fillId", 0))
-        out.append((int(a.get("indent", 0)) if a is not None else 0, fills[k] if k < len(fills) else None))
+        k, font = int(x.get("fillId", 0)), int(x.get("fontId", 0))
+        out.append((int(a.get("indent", 0)) if a is not None else 0, fills[k] if k < len(fills) else None, font < len(bold) and bold[font]))
     return out
 
 
@@ -49,7 +52,12 @@ def cells_of(data: bytes, file: str) -> Iterator[tuple]:
         rels = {r.get("Id"): r.get("Target").lstrip("/").removeprefix("xl/") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _N):
             with book.open(f"xl/{rels[sheet.get(_REL)]}") as f:
-                for _, c in ElementTree.iterparse(f):
+                outline = 0
+                for event, c in ElementTree.iterparse(f, ("start", "end")):
+                    if event == "start":
+                        if c.tag == f"{{{_N['m']}}}row":
+                            outline = int(c.get("outlineLevel", 0))
+                        continue
                     if c.tag != f"{{{_N['m']}}}c":
                         continue
                     letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
@@ -62,9 +70,9 @@ def cells_of(data: bytes, file: str) -> Iterator[tuple]:
                     elif kind == "inlineStr":
                         v = "".join(t.text or "" for t in c.findall(".//m:t", _N))
                     formula = c.findtext("m:f", None, _N)
-                    indent, fill = styles[k] if (k := int(c.get("s", 0))) < len(styles) else (0, None)
+                    indent, fill, bold = styles[k] if (k := int(c.get("s", 0))) < len(styles) else (0, None, False)
                     if v is not None or formula is not None:
-                        yield file, sheet.get("name"), int(row), col, v, f"={formula}" if formula else None, indent, fill
+                        yield file, sheet.get("name"), int(row), col, v, f"={formula}" if formula else None, indent, fill, bold, outline
                     c.clear()
 
 

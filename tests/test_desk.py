@@ -103,8 +103,8 @@ def test_import_pieces(spark):
     assert [(r.indent, r.name) for r in importer.label_levels(two, ["l0", "l1"]).orderBy("row").collect()] == [(0, "G"), (1, "a"), (1, "b"), (0, "H"), (1, "b")]
     cols = spark.createDataFrame([("s", 2, "2026-01"), ("s", 3, "2026-02"), ("s", 4, "2026-Q1"), ("s", 5, "2027-Q1")], "sheet_id string, col int, period_key string")
     assert {(r.col, r.is_total, r.leaf_no) for r in importer.leaf_columns(cols).collect()} == {(2, False, 0), (3, False, 1), (4, True, None), (5, False, 2)}
-    one = spark.createDataFrame([("=A1", "FFFFFF00", False), ("=[1]B!A1", None, False), ("=A1", None, True), (None, None, True), (None, None, False)], "f string, c string, k boolean")
-    assert [r[0] for r in one.select(importer.cell_rule(F.col("f"), F.col("c"), F.col("k"))).collect()] == ["manual", "manual", "formula", "sum_children", "manual"]
+    one = spark.createDataFrame([("=A1", "FFFFFF00", False), ("7", "theme:7", True), ("=[1]B!A1", None, False), ("=A1", None, True), (None, None, True), (None, None, False)], "f string, c string, k boolean")
+    assert [r[0] for r in one.select(importer.cell_rule(F.col("f"), F.col("c"), F.col("k"))).collect()] == ["formula", "manual", "manual", "formula", "sum_children", "manual"]
     assert [r[0] for r in one.select(text.name_candidates(F.array(F.lit("A"), F.lit("B")))).limit(1).collect()] == [["B", "A. B"]]
 
 
@@ -129,10 +129,10 @@ def test_workbook_source(spark, tmp_path):
         z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Na</t></si><si><r><t>x</t></r><r><t>y</t></r></si></sst>")
-        z.writestr("xl/styles.xml", f'<styleSheet {ns}><fills><fill/><fill><patternFill><fgColor rgb="FFFFFF00"/></patternFill></fill></fills><cellXfs><xf/><xf fillId="1"><alignment indent="2"/></xf></cellXfs></styleSheet>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>1</v></c><c r="AB1" s="1"><f>A1*2</f><v>4</v></c><c r="C1"/></row></sheetData></worksheet>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><fonts><font/><font><b/></font></fonts><fills><fill/><fill><patternFill><fgColor rgb="FFFFFF00"/></patternFill></fill></fills><cellXfs><xf/><xf fillId="1" fontId="1"><alignment indent="2"/></xf></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>1</v></c></row><row r="1" outlineLevel="1"><c r="AB1" s="1"><f>A1*2</f><v>4</v></c><c r="C1"/></row></sheetData></worksheet>')
     spark.dataSource.register(workbook.Workbooks)
-    want = {("S", 1, 1, "xy", None, 0, None), ("S", 1, 28, "4", "=A1*2", 2, "FFFFFF00")}
+    want = {("S", 1, 1, "xy", None, 0, None, False, 0), ("S", 1, 28, "4", "=A1*2", 2, "FFFFFF00", True, 1)}
     for df in (spark.read.format("workbook").load(str(tmp_path)), workbook.read_binary(spark, str(tmp_path))):
         assert {tuple(r)[1:] for r in df.collect()} == want
 
@@ -155,3 +155,4 @@ def test_edit_stream(spark, tmp_path):
         edits.to_log(stream, ["k"], log, str(tmp_path / "cp")).awaitTermination()
     # The later batch wins, as a later edit of the log.
     assert {(r.k, r.value) for r in edits.present(spark.read.parquet(log), ["k"]).collect()} == {(1, 3.0), (2, 9.0)}
+    assert {(r.k, r.value) for r in edits.present(spark.read.parquet(log), ["k"], by_time=True).collect()} == {(1, 2.0), (2, 9.0)}

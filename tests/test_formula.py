@@ -46,3 +46,28 @@ def test_numbers(spark):
     assert got[4][1] == 1234.5 and got[5][2] == -12.51 and got[6][2] is None and got[1][2] == 5
     text = spark.createDataFrame([(60.0,), (0.0,), (-1e-9,), (12345678.25,), (0.1234567,), (None,)], "x double").select(numbers.as_text(F.col("x")))
     assert [r[0] for r in text.collect()] == ["60", "0", "0", "12345678.25", "0.123457", None]
+
+
+def test_older_dialect():
+    old = "если [a].[b] == 1 то 5 иначе_если [c] > 2 то [d]*2 иначе 7 конец_если + 1"
+    assert formula.from_legacy(old) == "IF([a][b] == 1, 5, IF([c] > 2, [d]*2, 7)) + 1"
+    assert formula.parse(formula.from_legacy(old)) == formula.parse("IF([a][b]=1,5,IF([c]>2,[d]*2,7))+1")
+    assert formula.from_legacy("[x] + 1") == "[x] + 1"
+    with pytest.raises(formula.FormulaError):
+        formula.from_legacy("если [a] то 1")
+
+
+@pytest.mark.parametrize("text", ["[x]+[y]", "[y]*2-[x]", "([x]-1)*[y]+[x]/4", "SUM([x],[y],3)", "-([x]+[y])", "[y]/0+[x]"])
+def test_linear_forms(spark, text):
+    node, values = formula.parse(text), {"y": 3.0}
+    known = lambda r: F.lit(values[r.chain[-1]])
+    a, b = formula.linear_in(node, formula.Ref(("x",)), known)
+    for x in (0.0, 2.5, -7.0):
+        values["x"] = x
+        row = spark.range(1).select((a * x + b).alias("got"), formula.to_column(node, known).alias("want")).first()
+        assert row.got == pytest.approx(row.want)
+
+
+@pytest.mark.parametrize("text", ["[x]*[x]", "ABS([x])", "1/[x]", "IF([x],1,2)", "MAX([x],[y])", "[y]+1"])
+def test_not_linear(text):
+    assert formula.linear_in(formula.parse(text), formula.Ref(("x",)), lambda r: F.lit(1.0)) is None
