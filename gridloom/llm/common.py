@@ -15,11 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) is a temporary folder made and set.
+    Only where the session has none and runs in one process (tests) is a temporary folder made and set.
     """
     sc = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir().isEmpty():
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = found or tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found or sc.getCheckpointDir().get()

@@ -107,9 +107,10 @@ def fold(modulus: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, bound: int) -> DataFrame:
     """``docs(doc_id, text)`` with ``y`` for at most ``bound`` labelled ids, drawn by a hash of the id among those allowed.
 
-    ``bound`` bounds the rows and so what is broadcast and learned from.
+    Of rows that share an id the text with the least hash is taken, so ``bound`` bounds the rows and a rerun learns from the same.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed)
     ids = ids.groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     ids = ids.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(bound)
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return own.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))

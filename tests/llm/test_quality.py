@@ -98,3 +98,14 @@ def test_ensemble_is_what_the_expression_says(spark):
     df = spark.createDataFrame([(i, float(p), float(q)) for i, (p, q) in enumerate(x)], "i int, f_a double, f_b double")
     got = [r.s for r in df.select("i", rule_ensemble.compiled(rules, b).alias("s")).orderBy("i").collect()]
     assert np.allclose(got, 1 / (1 + np.exp(-z))) and np.mean((np.array(got) >= 0.5) == y) > 0.97
+
+
+def test_sample_with_repeated_ids(spark):
+    """Repeated and null ids: one text for each labelled id, the same in every run, never more than the bound."""
+    from gridloom.llm.stats import labelled_sample
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k % 7, f"text {k}") for k in range(70)] + [(None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(7)] + [(None, 1), (8, None)], "doc_id long, quality int")
+    runs = [sorted(map(tuple, labelled_sample(d, labels, "quality", F.lit(True), 5).collect()), key=str) for d in (docs, docs.repartition(3))]
+    assert runs[0] == runs[1] and len(runs[0]) == len({r[0] for r in runs[0]}) == 5
