@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it has none (local tests) is a temporary folder made and set."""
+    """``spark.checkpoint.dir`` of the session; only where it has none and runs in one process (tests) is a temporary folder made and set."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     found = tempfile.mkdtemp(prefix="gridloom-")
     spark.conf.set("spark.checkpoint.dir", found)
     return found
