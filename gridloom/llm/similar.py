@@ -7,8 +7,8 @@ triples of its positional bytes. All pairs that meet in a posting list and have
 each link is then verified on the shingles of the two texts, so no unlike texts are ever joined. What the index misses is measured (README).
 
 Copies, and texts with one fingerprint, are one class. Lists whose pairs are many (above ``DENSE`` for each member, or lists
-beyond ``LIST``) hold a crowd of near copies: their members are compared with the list's smallest member and again within
-finer lists, under one more triple each, so a crowd never becomes all its pairs. Candidates are verified closest first, one
+beyond ``LIST``) hold a crowd of near copies: each member is compared with the closest of its lists' smallest members. Lists that links
+haven't made one group then are taken apart into finer ones, under one more triple each, for pairs of different groups alone. Candidates are verified closest first, one
 for each class in a round; pairs that other links have joined meanwhile are dropped, so a crowd costs about one comparison a class.
 
 Cases: texts without words are one class; null ids are kept and only stand for a group that has no other; repeated rows give
@@ -102,7 +102,7 @@ def _bytes(fp: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return lanes, lanes.view(np.uint8).reshape(len(lanes), BYTES)
 
 
-_POSTED = "key long, id long, lane long"
+_POSTED = "key long, id long, lane long, root long"
 
 
 def _posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,11 +114,12 @@ def _posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lanes, b = _bytes(p.fp)
             b = b.astype(np.int64)[:, TRIPLES]
             keys = (np.arange(n) << 24) + (b[:, :, 0] << 16) + (b[:, :, 1] << 8) + b[:, :, 2]
-            yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(p.id.to_numpy(), n), "lane": np.repeat(lanes[:, 0], n)})
+            ids = np.repeat(p.id.to_numpy(), n)
+            yield pd.DataFrame({"key": keys.ravel(), "id": ids, "lane": np.repeat(lanes[:, 0], n), "root": ids})
 
 
 def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members (key, id, fp) of crowds, each under ``FINER`` more triples."""
+    """Members (key, id, fp, root) of crowds, each under ``FINER`` more triples."""
     step = len(TRIPLES) // FINER
     for pdf in batches:
         for i in range(0, len(pdf), 5000):
@@ -129,14 +130,14 @@ def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = b[np.arange(len(p))[:, None, None], TRIPLES[t]].astype(np.uint64)
             fine = _mixed(key.view(np.uint64)[:, None] * _EVEN[5] + t.astype(np.uint64))
             fine = _mixed(fine ^ (own[:, :, 0] << np.uint64(16) | own[:, :, 1] << np.uint64(8) | own[:, :, 2]))
-            yield pd.DataFrame({"key": fine.ravel().view(np.int64), "id": np.repeat(p.id.to_numpy(), FINER), "lane": np.repeat(lanes[:, 0], FINER)})
+            yield pd.DataFrame({"key": fine.ravel().view(np.int64), "id": np.repeat(p.id.to_numpy(), FINER), "lane": np.repeat(lanes[:, 0], FINER), "root": np.repeat(p.root.to_numpy(), FINER)})
 
 
-def _close(ids: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Pairs of one list that are close in their first lane, or nothing if it is a crowd."""
+def _close(ids: np.ndarray, lanes: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs of one list that no links join yet and that are close in their first lane, or nothing if it is a crowd."""
     a, b, n = [], [], 0
     for i in range(len(ids) - 1):
-        hit = np.flatnonzero(np.bitwise_count(lanes[i + 1 :] ^ lanes[i]) <= FAR_LANE) + i + 1
+        hit = np.flatnonzero((np.bitwise_count(lanes[i + 1 :] ^ lanes[i]) <= FAR_LANE) & (roots[i + 1 :] != roots[i])) + i + 1
         n += len(hit)
         if n > DENSE * len(ids):
             return None
@@ -152,16 +153,16 @@ def _crowd(key: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"key": pd.array(key, "Int64"), "a": ids, "b": pd.array([pd.NA] * len(ids), "Int64")})
 
 
-def _compared(k: np.ndarray, ids: np.ndarray, lanes: np.ndarray) -> Iterator[pd.DataFrame]:
+def _compared(k: np.ndarray, ids: np.ndarray, lanes: np.ndarray, roots: np.ndarray) -> Iterator[pd.DataFrame]:
     """Pairs (null, a, b), a < b, of whole lists, and (key, id, null) for members of crowds."""
     lanes = np.ascontiguousarray(lanes).view(np.uint64)
     cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     size = np.diff(np.append(cut, len(k)))
     twos = cut[size == 2]
-    twos = twos[np.bitwise_count(lanes[twos] ^ lanes[twos + 1]) <= FAR_LANE]
+    twos = twos[(np.bitwise_count(lanes[twos] ^ lanes[twos + 1]) <= FAR_LANE) & (roots[twos] != roots[twos + 1])]
     a, b = [ids[twos]], [ids[twos + 1]]
     for c, m in zip(cut[size > 2], size[size > 2], strict=True):
-        if (got := _close(ids[c : c + m], lanes[c : c + m])) is None:
+        if (got := _close(ids[c : c + m], lanes[c : c + m], roots[c : c + m])) is None:
             yield _crowd(k[c : c + m], ids[c : c + m])
         else:
             a.append(got[0]), b.append(got[1])
@@ -170,10 +171,10 @@ def _compared(k: np.ndarray, ids: np.ndarray, lanes: np.ndarray) -> Iterator[pd.
 
 
 def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams (key, id, lane) sorted by key through ``_compared``; of a list beyond ``LIST`` no more than that is held."""
-    held, crowded = [np.empty(0, np.int64) for _ in range(3)], None
+    """Streams (key, id, lane, root) sorted by key through ``_compared``; of a list beyond ``LIST`` no more than that is held."""
+    held, crowded = [np.empty(0, np.int64) for _ in range(4)], None
     for pdf in batches:
-        held = [np.concatenate((h, pdf[c].to_numpy())) for h, c in zip(held, ("key", "id", "lane"), strict=True)]
+        held = [np.concatenate((h, pdf[c].to_numpy())) for h, c in zip(held, ("key", "id", "lane", "root"), strict=True)]
         if not len(held[0]):
             continue
         if crowded is not None:  # the list goes on that is known as a crowd
@@ -201,33 +202,50 @@ def _distance(a: str, b: str):
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """``(a, b, d)``, a < b: pairs of ``classes(id, fp)`` that the index brings together and that differ in ``FAR`` bits at most."""
-    n = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-
-    def listed(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-        got = posted.repartition(n, "key").sortWithinPartitions("key", "id").select("key", "id", "lane").mapInPandas(_lists, _LISTED)
-        got = written(got, "lists")
-        return got.where("b is not null").select("a", "b"), got.where("b is null").select("key", F.col("a").alias("id"))
-
-    def with_least(members: DataFrame) -> DataFrame:
-        """Every member of a crowd beside its smallest one."""
-        least = members.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("x"))
-        both = spread_join(members, least, ["key"]).where("x.id < id")
-        return both.select(F.col("x.id").alias("a"), F.col("id").alias("b"), _distance("x.fp", "fp").cast("int").alias("d"))
-
-    pairs, crowd = listed(classes.mapInPandas(_posted, _POSTED))
-    stars: list[DataFrame] = []
-    if not crowd.isEmpty():
-        members = written(crowd.join(classes, "id").select("key", "id", "fp"), "crowd")
-        more, crowd = listed(members.mapInPandas(_finer, _POSTED))
-        stars += [with_least(members), with_least(crowd.join(classes, "id").select("key", "id", "fp"))]
-        pairs = pairs.union(more)
+def _listed(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` from the posting lists, and ``(key, id)`` of the members of crowds."""
+    n = max(int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    got = posted.repartition(n, "key").sortWithinPartitions("key", "id").select("key", "id", "lane", "root").mapInPandas(_lists, _LISTED)
+    got = written(got, "lists")
+    return got.where("b is not null").select("a", "b"), got.where("b is null").select("key", F.col("a").alias("id"))
+
+
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, b, d)``: the pairs that differ in ``FAR`` bits at most."""
     own = lambda c: classes.select(F.col("id").alias(c), F.col("fp").alias(f"f_{c}"))
     found = pairs.distinct().join(own("a"), "a").join(own("b"), "b").select("a", "b", _distance("f_a", "f_b").cast("int").alias("d"))
-    for s in stars:
-        found = found.union(s)
-    return found.where(F.col("d") <= FAR).distinct()
+    return found.where(F.col("d") <= FAR)
+
+
+def _with_least(members: DataFrame) -> DataFrame:
+    """``(a, b, d)``: every member of a crowd beside its smallest one, where no links join them yet."""
+    least = members.groupBy("key").agg(F.min(F.struct("id", "fp", "root")).alias("x"))
+    both = spread_join(members, least, ["key"]).where("x.id < id and x.root <> root")
+    return both.select(F.col("x.id").alias("a"), F.col("id").alias("b"), _distance("x.fp", "fp").cast("int").alias("d")).where(F.col("d") <= FAR)
+
+
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(a, b, d)``, a < b: pairs of ``classes(id, fp)`` to verify first, and the members ``(key, id, fp)`` of crowds, if there are any.
+
+    Of a crowd's member there is one pair only, with the closest of the smallest members of its lists.
+    """
+    pairs, crowd = _listed(classes.mapInPandas(_posted, _POSTED))
+    found = _near(pairs, classes)
+    if crowd.isEmpty():
+        return found, None
+    members = written(crowd.join(classes, "id").select("key", "id", "fp"), "crowd")
+    stars = _with_least(members.withColumn("root", F.col("id"))).groupBy("b").agg(F.min(F.struct("d", "a")).alias("x"))
+    return found.union(stars.select("x.a", "b", "x.d")).distinct(), members
+
+
+def candidates_left(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """More pairs from crowds, now that links have joined classes: of lists that still hold several groups, pairs of different groups."""
+    known = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    known = written(spread_join(known, open_, ["key"]).select("key", "id", "fp", "root"), "crowd")
+    pairs, crowd = _listed(known.mapInPandas(_finer, _POSTED))
+    again = crowd.join(known.dropDuplicates(["id"]).select("id", "fp", "root"), "id").select("key", "id", "fp", "root")
+    return _near(pairs, classes).union(_with_least(known)).union(_with_least(again)).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -255,10 +273,10 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least:
     return pairs.select("a", "b").join(own("a", "s"), "a").join(own("b", "t"), "b").select("a", "b", "s", "t").mapInPandas(run, "a long, b long")
 
 
-def linked(docs: DataFrame, rows: DataFrame, found: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``(id, root)`` of the classes that verified candidates connect. ``rows(s_id, s_text, id)`` says which texts a class has."""
+def linked(docs: DataFrame, rows: DataFrame, found: DataFrame, links: DataFrame | None, shingle: int, least: float) -> DataFrame | None:
+    """Links ``(a, b)``: those given and verified candidates that connect what they don't. ``rows(s_id, s_text, id)`` says which texts a class has."""
     reps = rows.groupBy("id").agg(F.min(F.struct("s_id", "s_text")).alias("r")).select("id", "r.s_id", "r.s_text")
-    todo, links, most, root = written(found, "pairs"), None, 4, None
+    todo, most = written(found, "pairs"), 4
     # A pair is tried with its greater id, which has few: the pairs with one posting list's smallest member are many.
     order = Window.partitionBy("b").orderBy("d", "a")
     while not todo.isEmpty():
@@ -268,13 +286,18 @@ def linked(docs: DataFrame, rows: DataFrame, found: DataFrame, shingle: int, lea
         texts = docs.select("s_id", "s_text", "text").join(asked, ["s_id", "s_text"]).dropDuplicates(["id"]).select("id", "text")
         ok = written(verified(tried, written(texts, "texts"), shingle, least), "links")
         links = ok if links is None else links.union(ok)
-        root = written(components(links), "roots")
-        of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))  # noqa: E731, B023
-        rest = ranked.where(F.col("n") > most).join(of("a"), "a", "left").join(of("b"), "b", "left")
-        todo, most = written(rest.where("coalesce(r_a, a) <> coalesce(r_b, b)").select("a", "b", "d"), "pairs"), most * 16
-    if root is None:
-        return rows.select("id", F.col("id").alias("root")).limit(0)
-    return root.select(F.col("node").alias("id"), "root")
+        rest = written(ranked.where(F.col("n") > most).select("a", "b", "d"), "pairs")
+        if rest.isEmpty():
+            break
+        root = _roots(links)
+        of = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"r_{c}"))  # noqa: E731, B023
+        rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(r_a, a) <> coalesce(r_b, b)")
+        todo, most = written(rest.select("a", "b", "d"), "pairs"), most * 16
+    return links
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return written(components(links).withColumnRenamed("node", "id"), "roots")
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -282,7 +305,13 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> Da
     rows = written(prints(docs, shingle).withColumn("s_id", _key()), "prints")
     classes = written(rows.groupBy("id").agg(F.first("fp").alias("fp")), "classes")
     rows = rows.drop("fp")
-    roots = linked(docs, rows, candidates(classes), shingle, least)
+    found, members = candidates(classes)
+    links = linked(docs, rows, found, None, shingle, least)
+    if links is None:
+        return rows.withColumn("root", F.col("id"))
+    roots = _roots(links)
+    if members is not None:
+        roots = _roots(linked(docs, rows, candidates_left(members, classes, roots), links, shingle, least))
     return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 

@@ -89,7 +89,7 @@ def test_recall_of_the_index(prose):
 def test_lists_across_batches():
     rnd = np.random.default_rng(2)
     keys = np.sort(rnd.integers(0, 400, 6000))
-    rows = pd.DataFrame({"key": keys, "id": np.arange(6000), "lane": rnd.integers(-(2**63), 2**63, 5)[rnd.integers(0, 5, 6000)]})
+    rows = pd.DataFrame({"key": keys, "id": np.arange(6000), "lane": rnd.integers(-(2**63), 2**63, 5)[rnd.integers(0, 5, 6000)], "root": np.arange(6000) // 2})
     whole = pd.concat(list(similar._lists(iter([rows]))))
     parts = pd.concat(list(similar._lists(iter(rows.iloc[i : i + 37] for i in range(0, 6000, 37)))))
     norm = lambda x: sorted(map(str, x.itertuples(index=False)))
