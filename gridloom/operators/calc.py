@@ -32,6 +32,8 @@ KEY = ["sheet_id", "coord"]
 CHUNK = 100
 #: Rounds after which chains are looked for.
 ROUNDS_TO_CHAINS = (1, 8, 64, 512)
+#: Steps that an edit's dependents are followed.
+DEEP = 8
 
 
 @dataclass(frozen=True)
@@ -424,8 +426,11 @@ def changes(result: Calculated) -> DataFrame:
     return rows.where(numbers.changed(F.col("old"), F.col("value"), F.col("was_empty"))).select(*KEY, numbers.as_text(F.col("value")).alias("value_str"))
 
 
-def dirty(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """Cells that depend on ``changed(sheet_id, coord)``, directly or through others: a frontier that grows until nothing is new."""
+def dirty(edges: DataFrame, changed: DataFrame, most: int | None = None) -> DataFrame | None:
+    """Cells that depend on ``changed(sheet_id, coord)``, directly or through others: a frontier that grows until nothing is new.
+
+    With ``most`` rounds given, nothing is returned if they don't reach the end.
+    """
     back = edges.where("to_coord is not null").select(F.col("to_sheet"), F.col("to_coord"), *KEY)
     fronts = [materialized(changed.select(*KEY).distinct(), "front")]
     while True:
@@ -437,13 +442,19 @@ def dirty(edges: DataFrame, changed: DataFrame) -> DataFrame:
         if not count.get["n"]:
             return seen
         fronts.append(front)
+        if len(fronts) == most:
+            return None
 
 
 def update(result: Calculated, edits: DataFrame) -> Calculated:
-    """The model after ``edits(sheet_id, coord, value)``: edited cells become manual, only what depends on them is evaluated."""
+    """The model after ``edits(sheet_id, coord, value)``: edited cells become manual, only what depends on them is evaluated.
+
+    Where that reaches beyond ``DEEP`` steps, as along time, all computed cells are: composing chains costs less than walking them.
+    """
     edits = edits.select(*KEY, F.col("value").alias("new")).dropDuplicates(KEY)
-    touched = dirty(result.edges, edits).join(edits, KEY, "left_anti")
-    todo = result.todo.join(touched, KEY, "left_semi")
+    touched = dirty(result.edges, edits, DEEP)
+    todo = result.todo.join(edits, KEY, "left_anti")
+    todo = todo if touched is None else todo.join(touched, KEY, "left_semi")
     known = result.values.join(todo.select(*KEY), KEY, "left_anti").join(edits, KEY, "full").select(*KEY, F.coalesce("new", "value").alias("value"))
     got = evaluate(todo, result.edges, known, _distinct_formulas(todo))
     merged = result.values.join(edits, KEY, "full").join(got.select(*KEY, F.col("value").alias("v"), F.col("status").alias("s")), KEY, "left")
