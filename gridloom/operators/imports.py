@@ -140,10 +140,11 @@ def tree_counts(rows: DataFrame) -> DataFrame:
 
 
 def total_columns(grid: DataFrame, header: DataFrame, rows: int = 6) -> DataFrame:
-    """``(sheet_id, col, kind)``: columns without a period whose first ``rows`` rows name a year, a quarter or a total; kind is year or quarter."""
+    """``(sheet_id, col, kind)``: columns behind the first period, without one themselves, whose first ``rows`` rows name a year, a quarter or a total; kind is year or quarter."""
     t = F.trim("value")
     kind = F.when(t.rlike(r"^(199\d|20\d\d|2100)$"), "year").when(t.rlike(r"(?iu)\bq[1-4]\b|квартал|кв\."), "quarter").when(t.rlike(importer.TOTALS), "year")
-    top = grid.where(F.col("row") <= rows).join(header.where(periods.level(F.col("period_key")) == "M").select("sheet_id", "col"), ["sheet_id", "col"], "left_anti")
+    top = grid.where(F.col("row") <= rows).join(header.select("sheet_id", "col"), ["sheet_id", "col"], "left_anti")
+    top = top.join(header.groupBy("sheet_id").agg(F.min("col").alias("_first")), "sheet_id").where("col > _first").drop("_first")
     return top.withColumn("kind", kind).where("kind is not null").groupBy("sheet_id", "col").agg(F.min_by("kind", "row").alias("kind"))
 
 
@@ -209,8 +210,9 @@ def imported_cells(grid: DataFrame, header: DataFrame, tree: DataFrame) -> DataF
 
 
 def analysis(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Header and tree of every sheet that has both, told by rules alone: ``(header, tree)``."""
-    header = materialized(importer.period_columns(grid), "header")
+    """Header and tree of every sheet that has both, told by rules alone: ``(header, tree)``. Columns that a finer one of their year makes totals are left out."""
+    header = importer.leaf_columns(importer.period_columns(grid)).where("not is_total").select("sheet_id", "row", "col", "period_key")
+    header = materialized(header, "header")
     return header, materialized(grouped_rows(label_rows(grid, header)), "tree")
 
 

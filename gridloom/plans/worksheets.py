@@ -72,7 +72,7 @@ def total_columns(spark, d):
     more = o.select("sheet_id", F.lit(2).alias("row"), F.lit(9000).alias("col"), F.lit("1-й квартал").alias("value")).distinct()
     last = o.where("o_orderstatus = 'P'").select("sheet_id", F.lit(3).alias("row"), F.lit(9001).alias("col"), F.lit("Итого").alias("value")).distinct()
     low = o.select("sheet_id", F.lit(40).alias("row"), F.lit(9002).alias("col"), F.lit("Total").alias("value")).distinct()
-    plain = o.select("sheet_id", F.lit(1).alias("row"), F.lit(9003).alias("col"), F.lit("2026").alias("value")).distinct()
+    plain = o.select("sheet_id", F.lit(1).alias("row"), F.lit(5).alias("col"), F.lit("2026").alias("value")).distinct()
     months = plain.select("sheet_id", "col", F.lit("2026-01").alias("period_key"))
     return imports.total_columns(head.union(more).union(last).union(low).union(plain), months)
 
