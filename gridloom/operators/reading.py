@@ -151,7 +151,8 @@ def longest_prefix(asked: DataFrame, known: DataFrame, least: int = 2) -> DataFr
     """``(coord, value)``: for each asked coordinate the value of the longest known one that it begins with, of ``least`` members or more."""
     n = F.size("coord")
     cut = asked.where(n >= least).select("coord", F.explode(F.transform(F.sequence(F.lit(least), n), lambda k: F.slice("coord", 1, k))).alias("part"))
-    met = cut.join(known.select(F.col("coord").alias("part"), "value"), "part")
+    # Spark takes an array column for one element wide: without the hint it would broadcast millions of coordinates.
+    met = cut.join(known.select(F.col("coord").alias("part"), "value").hint("merge"), "part")
     return met.groupBy("coord").agg(F.max_by("value", F.size("part")).alias("value"))
 
 

@@ -156,3 +156,13 @@ def test_edit_stream(spark, tmp_path):
     # The later batch wins, as a later edit of the log.
     assert {(r.k, r.value) for r in edits.present(spark.read.parquet(log), ["k"]).collect()} == {(1, 3.0), (2, 9.0)}
     assert {(r.k, r.value) for r in edits.present(spark.read.parquet(log), ["k"], by_time=True).collect()} == {(1, 2.0), (2, 9.0)}
+
+
+def test_longest_prefix_is_not_broadcast(spark):
+    # A handful of array columns looks small to Spark however many rows there are; the coordinates must be merged, not sent whole.
+    known = spark.createDataFrame([([1, 2], 5), ([1, 2, 3], 7)], "coord array<long>, value long")
+    asked = spark.createDataFrame([([1, 2, 3],), ([1, 2, 4],), ([2, 2, 4],)], "coord array<long>")
+    got = reading.longest_prefix(asked, known)
+    assert {(tuple(r.coord), r.value) for r in got.collect()} == {((1, 2, 3), 7), ((1, 2, 4), 5)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
