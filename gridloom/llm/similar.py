@@ -8,8 +8,10 @@ each link is then verified on the shingles of the two texts, so no unlike texts
 
 Copies, and texts with one fingerprint, are one class. Lists whose pairs are many (above ``DENSE`` for each member, or lists
 beyond ``LIST``) hold a crowd of near copies: each member is compared with the closest of its lists' smallest members. Lists that links
-haven't made one group then are taken apart into finer ones, under one more triple each, for pairs of different groups alone. Candidates are verified closest first, one
-for each class in a round; pairs that other links have joined meanwhile are dropped, so a crowd costs about one comparison a class.
+haven't made one group then are taken apart into finer ones, under one more triple each, for pairs of different groups alone. Of lists
+that hold several groups even then all pairs of different groups are compared, in blocks, so no list's length or density loses a pair.
+Candidates are verified closest first, a few for each class in a round; pairs that other links have joined meanwhile are dropped, so a crowd
+costs about one comparison a class.
 
 Cases: texts without words are one class; null ids are kept and only stand for a group that has no other; repeated rows give
 one row; ties go to the smallest id, then to the least hash of the text; an empty table gives an empty result.
@@ -34,8 +36,10 @@ BYTES = 8 * LANES
 FAR = 190
 #: The same for the first lane, by which pairs within a list are told.
 FAR_LANE = 20
-#: Members of a list that are compared with each other, close pairs for each member, finer lists for each member of a crowd.
-LIST, DENSE, FINER = 2048, 16, 16
+#: Members of a list that are compared with each other at once, close pairs for each member, finer lists for each member of a crowd.
+LIST, DENSE, FINER = 2048, 1, 16
+#: Members of a block, where all pairs of a list are compared.
+BLOCK = 4096
 MEMORY_WORDS = 500_000
 _EVEN = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)], np.uint64)
 #: Positional bytes of each key; no two keys share more than one of them.
@@ -146,15 +150,20 @@ def _close(ids: np.ndarray, lanes: np.ndarray, roots: np.ndarray) -> tuple[np.nd
     return np.concatenate(a), np.concatenate(b)
 
 
-_LISTED = "key long, a long, b long"
+_LISTED = "key long, a long, b long, d int"
 
 
-def _crowd(key: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"key": pd.array(key, "Int64"), "a": ids, "b": pd.array([pd.NA] * len(ids), "Int64")})
+def _crowd(rows: list[np.ndarray], first: list) -> pd.DataFrame:
+    """Members (key, id, star, d) of a crowd: the list's smallest member, where it is close and no links join it yet, and the differing bits."""
+    key, ids, lanes, roots = rows
+    d = np.bitwise_count(np.ascontiguousarray(lanes).view(np.uint64) ^ np.array([first[2]]).view(np.uint64)).astype(np.int32)
+    far = (d > FAR_LANE) | (roots == first[3])
+    return pd.DataFrame({"key": pd.array(key, "Int64"), "a": ids, "b": pd.arrays.IntegerArray(np.full(len(ids), first[1]), far), "d": pd.arrays.IntegerArray(d, far)})
 
 
 def _compared(k: np.ndarray, ids: np.ndarray, lanes: np.ndarray, roots: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Pairs (null, a, b), a < b, of whole lists, and (key, id, null) for members of crowds."""
+    """Pairs (null, a, b, null), a < b, of whole lists, and the members of crowds."""
+    rows = [k, ids, lanes, roots]
     lanes = np.ascontiguousarray(lanes).view(np.uint64)
     cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     size = np.diff(np.append(cut, len(k)))
@@ -163,24 +172,24 @@ def _compared(k: np.ndarray, ids: np.ndarray, lanes: np.ndarray, roots: np.ndarr
     a, b = [ids[twos]], [ids[twos + 1]]
     for c, m in zip(cut[size > 2], size[size > 2], strict=True):
         if (got := _close(ids[c : c + m], lanes[c : c + m], roots[c : c + m])) is None:
-            yield _crowd(k[c : c + m], ids[c : c + m])
+            yield _crowd([x[c : c + m] for x in rows], [x[c] for x in rows])
         else:
             a.append(got[0]), b.append(got[1])
     a, b = np.concatenate(a), np.concatenate(b)
-    yield pd.DataFrame({"key": pd.array([pd.NA] * len(a), "Int64"), "a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), "Int64")})
+    yield pd.DataFrame({"key": pd.array([pd.NA] * len(a), "Int64"), "a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), "Int64"), "d": pd.array([pd.NA] * len(a), "Int32")})
 
 
 def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams (key, id, lane, root) sorted by key through ``_compared``; of a list beyond ``LIST`` no more than that is held."""
+    """Streams (key, id, lane, root) sorted by key and id through ``_compared``; a list beyond ``LIST`` passes as a crowd, of which no more than that is held."""
     held, crowded = [np.empty(0, np.int64) for _ in range(4)], None
     for pdf in batches:
         held = [np.concatenate((h, pdf[c].to_numpy())) for h, c in zip(held, ("key", "id", "lane", "root"), strict=True)]
         if not len(held[0]):
             continue
         if crowded is not None:  # the list goes on that is known as a crowd
-            n = int(np.searchsorted(held[0], crowded, "right"))
+            n = int(np.searchsorted(held[0], crowded[0], "right"))
             if n:
-                yield _crowd(held[0][:n], held[1][:n])
+                yield _crowd([h[:n] for h in held], crowded)
             held = [h[n:] for h in held]
             if not len(held[0]):
                 continue
@@ -190,8 +199,8 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield from _compared(*(h[:last] for h in held))
         held = [h[last:] for h in held]
         if len(held[0]) > LIST:
-            crowded = held[0][0]
-            yield _crowd(held[0], held[1])
+            crowded = [h[0] for h in held]
+            yield _crowd(held, crowded)
             held = [h[:0] for h in held]
     if len(held[0]):
         yield from _compared(*held)
@@ -203,11 +212,11 @@ def _distance(a: str, b: str):
 
 
 def _listed(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b)`` from the posting lists, and ``(key, id)`` of the members of crowds."""
+    """Pairs ``(a, b)`` from the posting lists, and ``(key, id, star, d)`` of the members of crowds."""
     n = max(int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     got = posted.repartition(n, "key").sortWithinPartitions("key", "id").select("key", "id", "lane", "root").mapInPandas(_lists, _LISTED)
     got = written(got, "lists")
-    return got.where("b is not null").select("a", "b"), got.where("b is null").select("key", F.col("a").alias("id"))
+    return got.where("key is null").select("a", "b"), got.where("key is not null").select("key", F.col("a").alias("id"), F.col("b").alias("star"), "d")
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -217,35 +226,65 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return found.where(F.col("d") <= FAR)
 
 
-def _with_least(members: DataFrame) -> DataFrame:
-    """``(a, b, d)``: every member of a crowd beside its smallest one, where no links join them yet."""
-    least = members.groupBy("key").agg(F.min(F.struct("id", "fp", "root")).alias("x"))
-    both = spread_join(members, least, ["key"]).where("x.id < id and x.root <> root")
-    return both.select(F.col("x.id").alias("a"), F.col("id").alias("b"), _distance("x.fp", "fp").cast("int").alias("d")).where(F.col("d") <= FAR)
+def _stars(crowd: DataFrame) -> DataFrame:
+    """``(a, b)``: each member of a crowd beside the closest of its lists' smallest members."""
+    closest = crowd.where("star is not null").groupBy("id").agg(F.min(F.struct("d", "star")).alias("x"))
+    return closest.select(F.col("x.star").alias("a"), F.col("id").alias("b"))
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``(a, b, d)``, a < b: pairs of ``classes(id, fp)`` to verify first, and the members ``(key, id, fp)`` of crowds, if there are any.
+    """``(a, b, d)``, a < b: pairs of ``classes(id, fp)`` to verify first, and the members ``(key, id)`` of crowds, if there are any.
 
     Of a crowd's member there is one pair only, with the closest of the smallest members of its lists.
     """
     pairs, crowd = _listed(classes.mapInPandas(_posted, _POSTED))
-    found = _near(pairs, classes)
-    if crowd.isEmpty():
-        return found, None
-    members = written(crowd.join(classes, "id").select("key", "id", "fp"), "crowd")
-    stars = _with_least(members.withColumn("root", F.col("id"))).groupBy("b").agg(F.min(F.struct("d", "a")).alias("x"))
-    return found.union(stars.select("x.a", "b", "x.d")).distinct(), members
+    found = _near(pairs.union(_stars(crowd)), classes)
+    return found, None if crowd.isEmpty() else crowd.select("key", "id")
 
 
-def candidates_left(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """More pairs from crowds, now that links have joined classes: of lists that still hold several groups, pairs of different groups."""
-    known = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+def still_open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``(key, id, root)``: the members of those lists that hold several groups."""
+    known = members.select("key", "id")
+    known = known.withColumn("root", F.col("id")) if roots is None else known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_ = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    known = written(spread_join(known, open_, ["key"]).select("key", "id", "fp", "root"), "crowd")
-    pairs, crowd = _listed(known.mapInPandas(_finer, _POSTED))
-    again = crowd.join(known.dropDuplicates(["id"]).select("id", "fp", "root"), "id").select("key", "id", "fp", "root")
-    return _near(pairs, classes).union(_with_least(known)).union(_with_least(again)).distinct()
+    return written(spread_join(known, open_, ["key"]).select("key", "id", "root"), "crowd")
+
+
+def candidates_finer(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, b, d)``: pairs of different groups that finer lists of the open ones have, and members of crowds beside the smallest ones."""
+    pairs, crowd = _listed(members.join(classes, "id").select("key", "id", "fp", "root").mapInPandas(_finer, _POSTED))
+    return _near(pairs.union(_stars(crowd)), classes)
+
+
+_BLOCKED = "a long, b long"
+
+
+def _blocked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different groups between two blocks of a list, or within one, that are close."""
+    pdf = pdf.sort_values("id")
+    ids, roots, (lanes, _) = pdf.id.to_numpy(), pdf.root.to_numpy(), _bytes(pdf.fp)
+    lanes = lanes.view(np.uint64)
+    one = pdf.h.to_numpy() == pdf.i.iloc[0]
+    same = pdf.i.iloc[0] == pdf.j.iloc[0]
+    theirs = np.arange(len(ids)) if same else np.flatnonzero(~one)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for x in np.flatnonzero(one):
+        at = theirs[theirs > x] if same else theirs
+        at = at[(np.bitwise_count(lanes[at, 0] ^ lanes[x, 0]) <= FAR_LANE) & (roots[at] != roots[x])]
+        at = at[np.bitwise_count(lanes[at] ^ lanes[x]).sum(1, dtype=np.int64) <= FAR]
+        a.append(np.full(len(at), ids[x])), b.append(ids[at])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def candidates_left(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, b, d)``: all close pairs of different groups in the lists of ``members(key, id, root)``, block by block."""
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    h = F.pmod(F.xxhash64(F.lit(11), "id"), F.col("blocks")).cast("int")
+    dealt = spread_join(members, blocks, ["key"]).withColumn("h", h)
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "id", "root", "h", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j")).join(classes, "id")
+    return _near(dealt.groupBy("key", "i", "j").applyInPandas(_blocked, _BLOCKED), classes)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -273,18 +312,20 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least:
     return pairs.select("a", "b").join(own("a", "s"), "a").join(own("b", "t"), "b").select("a", "b", "s", "t").mapInPandas(run, "a long, b long")
 
 
-def linked(docs: DataFrame, rows: DataFrame, found: DataFrame, links: DataFrame | None, shingle: int, least: float) -> DataFrame | None:
-    """Links ``(a, b)``: those given and verified candidates that connect what they don't. ``rows(s_id, s_text, id)`` says which texts a class has."""
-    reps = rows.groupBy("id").agg(F.min(F.struct("s_id", "s_text")).alias("r")).select("id", "r.s_id", "r.s_text")
+def texts_of(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, text)`` of the classes ``ids(id)``, read from the documents once. ``rows(s_id, s_text, id)`` says which texts a class has."""
+    reps = rows.groupBy("id").agg(F.min(F.struct("s_id", "s_text")).alias("r")).select("id", "r.s_id", "r.s_text").join(ids.distinct(), "id")
+    return written(docs.select("s_id", "s_text", "text").join(reps, ["s_id", "s_text"]).dropDuplicates(["id"]).select("id", "text"), "texts")
+
+
+def linked(texts: DataFrame, found: DataFrame, links: DataFrame | None, shingle: int, least: float) -> DataFrame | None:
+    """Links ``(a, b)``: those given and verified candidates that connect what they don't."""
     todo, most = written(found, "pairs"), 4
     # A pair is tried with its greater id, which has few: the pairs with one posting list's smallest member are many.
     order = Window.partitionBy("b").orderBy("d", "a")
     while not todo.isEmpty():
         ranked = todo.withColumn("n", F.row_number().over(order))
-        tried = ranked.where(F.col("n") <= most)
-        asked = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps, "id")
-        texts = docs.select("s_id", "s_text", "text").join(asked, ["s_id", "s_text"]).dropDuplicates(["id"]).select("id", "text")
-        ok = written(verified(tried, written(texts, "texts"), shingle, least), "links")
+        ok = written(verified(ranked.where(F.col("n") <= most), texts, shingle, least), "links")
         links = ok if links is None else links.union(ok)
         rest = written(ranked.where(F.col("n") > most).select("a", "b", "d"), "pairs")
         if rest.isEmpty():
@@ -306,12 +347,19 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> Da
     classes = written(rows.groupBy("id").agg(F.first("fp").alias("fp")), "classes")
     rows = rows.drop("fp")
     found, members = candidates(classes)
-    links = linked(docs, rows, found, None, shingle, least)
-    if links is None:
+    found = written(found, "pairs")
+    ids = found.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = texts_of(docs, rows, ids if members is None else ids.union(members.select("id")))
+    links = linked(texts, found, None, shingle, least)
+    roots = None if links is None else _roots(links)
+    for more in (candidates_finer, candidates_left) if members is not None else ():
+        members = still_open(members, roots)
+        if members.isEmpty():
+            break
+        links = linked(texts, more(members, classes), links, shingle, least)
+        roots = None if links is None else _roots(links)
+    if roots is None:
         return rows.withColumn("root", F.col("id"))
-    roots = _roots(links)
-    if members is not None:
-        roots = _roots(linked(docs, rows, candidates_left(members, classes, roots), links, shingle, least))
     return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 

@@ -102,3 +102,34 @@ def test_nulls_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.text)) for r in similar.one_of_each(df).collect())
     assert [g for g in got if g[0] != "None"] == [("7", "a b c d e f"), ("9", "other words")] and len(got) == 3
+
+
+def test_no_pair_of_a_crowded_list_is_lost(spark):
+    """Of lists that are long and hold several groups every close pair is compared, whatever the smallest member is like."""
+    rnd = np.random.default_rng(4)
+    centre = rnd.integers(-(2**63), 2**63, similar.LANES)
+    near = lambda fp, n: (np.unpackbits(fp.view(np.uint8)) ^ np.isin(np.arange(1024), rnd.choice(np.arange(64, 1024), n, replace=False))).astype(np.uint8)
+    prints = [np.packbits(near(centre, 150)).view(np.int64) for _ in range(60)]
+    prints += [np.packbits(near(p, 40)).view(np.int64) for p in prints[:30]]
+    classes = spark.createDataFrame([(i, [int(x) for x in p]) for i, p in enumerate(prints)], "id long, fp array<long>")
+    members = classes.selectExpr("1L as key", "id", "id div 45 as root")
+    want = {(a, b) for b in range(90) for a in range(b) if a // 45 != b // 45 and np.bitwise_count(prints[a].view(np.uint64) ^ prints[b].view(np.uint64)).sum() <= similar.FAR}
+    assert len(want) >= 15
+    for block in (4096, 20):
+        before, similar.BLOCK = similar.BLOCK, block
+        try:
+            got = {(r.a, r.b) for r in similar.candidates_left(members, classes).collect()}
+        finally:
+            similar.BLOCK = before
+        assert got == want
+
+
+def test_finer_crowds_are_told_apart_exactly(spark, prose, monkeypatch):
+    """Groups whose lists are crowds at every level, so that smallest members alone would not find all links."""
+    make, changed = prose
+    one = make(200)
+    texts = [t for _ in range(25) for b in [changed(one, 9)] for t in (b, changed(b, 1), changed(b, 2))]
+    monkeypatch.setattr(similar, "LIST", 4)
+    monkeypatch.setattr(similar, "DENSE", 0)
+    got = {r.doc_id: r.group_id for r in similar.near_groups(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(groups(texts)))
