@@ -22,7 +22,7 @@ def test_large_totals_equal_sql(spark, large, name):
     assert differences(spark, large, catalog.queries()[name], sql) == ""
 
 
-@pytest.mark.parametrize("name", ["undone_edits"])
+@pytest.mark.parametrize("name", ["saved_edits", "undone_edits"])
 def test_same_path_with_other_values_equals_sql(spark, sf, large, tmp_path, name):
     """A calculation kept under a path isn't used again when other values, or fewer, are there."""
     d = str(tmp_path / "sf")
