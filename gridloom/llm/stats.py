@@ -114,3 +114,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, bou
     ids = ids.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(bound)
     own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     return own.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int = 2000) -> DataFrame:
+    """``(doc_id, y, text)`` of all labelled ids among those allowed, about ``rows`` of them in each partition, by id.
+
+    Of rows that share an id the text with the least hash is taken; null texts are empty.
+    """
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed)
+    parts = max(1, -(-ids.count() // rows))
+    ids = ids.groupBy("doc_id").agg(F.max(label).cast("double").alias("y")).repartition(parts, "doc_id")
+    own = docs.where(F.col("doc_id").isNotNull() & allowed).select("doc_id", "text").repartition(parts, "doc_id").join(ids.hint("shuffle_hash"), "doc_id")
+    own = own.groupBy("doc_id", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
+    return own.sortWithinPartitions("doc_id")

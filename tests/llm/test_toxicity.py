@@ -72,3 +72,31 @@ def test_passages_far_inside_long_texts_are_learned(spark):
     labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
     got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(frame(spark, texts), labels).collect()}
     assert np.mean([got[i] == t for i, t in enumerate(y)]) > 0.95
+
+
+def test_all_labelled_rows_are_counted(spark, monkeypatch):
+    """Counts, weights and thresholds come from every labelled row, also from more rows and tasks than one learns from at once."""
+    texts, y = corpus(6000, 5)
+    df = frame(spark, [f"only{i} {t}" for i, t in enumerate(texts)])
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    seen, calls = [], toxicity.vocabulary
+    monkeypatch.setattr(toxicity, "vocabulary", lambda rows, n: seen.append((rows.count(), n)) or calls(rows, n))
+    monkeypatch.setattr(toxicity, "CHUNK", 50_000)
+    model = toxicity.fit(df, labels, toxicity.fold(5) != 0)
+    held = sum(__import__("zlib").crc32(str(i).encode()) % 5 == 0 for i in range(6000))
+    rows = spark.createDataFrame([(i,) for i in range(6000)], "doc_id long").where(toxicity.fold(5) != 0)
+    set_apart = rows.where("pmod(xxhash64(31, doc_id), 4) = 3").count()
+    assert seen == [(6000 - held - set_apart,) * 2] and seen[0][0] > 3400
+    scores = [toxicity.score_of(model, toxicity.coder_of(model), t)[0] >= 0.5 for t in texts]
+    assert np.mean([s == bool(t) for s, t in zip(scores, y)]) > 0.97
+    again = toxicity.fit(df, labels, toxicity.fold(5) != 0)
+    assert all((a == b).all() for a, b in zip((model.table, *model.filters), (again.table, *again.filters))) and model.thresholds == again.thresholds
+
+
+def test_counts_of_a_model_are_those_of_all_rows(spark, monkeypatch):
+    texts = ["vile day", "vile night", "kind day", "kind night", "day"]
+    rows = spark.createDataFrame([(t, float(i < 2)) for i, t in enumerate(texts)], "text string, y double").repartition(3)
+    count = lambda: {int(b): (int(x), int(z)) for b, x, z in zip(*toxicity.vocabulary(rows, 5))}
+    assert count()[toxicity.bucket("day")] == (2, 1) and count()[toxicity.bucket("vile")] == (0, 2) and count()[toxicity.bucket("kind~")] == (2, 0)
+    monkeypatch.setattr(toxicity, "VOCABULARY", 1)
+    assert count() == {toxicity.bucket("day"): (2, 1)}
