@@ -133,3 +133,11 @@ def test_finer_crowds_are_told_apart_exactly(spark, prose, monkeypatch):
     monkeypatch.setattr(similar, "DENSE", 0)
     got = {r.doc_id: r.group_id for r in similar.near_groups(frame(spark, texts)).collect()}
     assert got == dict(enumerate(groups(texts)))
+
+
+def test_rows_of_lists_grow_with_members():
+    """A list of close members of different groups gives a row for each of them, whatever its length, not one for each pair."""
+    for m in (10, 500, 1000, 2000, 9000):
+        rows = pd.DataFrame({"key": 7, "id": np.arange(m), "lane": np.arange(m) % 4, "root": np.arange(m)})
+        got = pd.concat(list(similar._lists(iter(rows.iloc[i : i + 700] for i in range(0, m, 700)))))
+        assert len(got) == m and sorted(got.a) == list(range(m))
