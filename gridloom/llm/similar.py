@@ -40,6 +40,8 @@ FAR_LANE = 20
 LIST, DENSE, FINER = 2048, 1, 16
 #: Members of a block, where all pairs of a list are compared.
 BLOCK = 4096
+#: Links that one task contracts.
+LINKS = 1_000_000
 MEMORY_WORDS = 500_000
 _EVEN = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)], np.uint64)
 #: Positional bytes of each key; no two keys share more than one of them.
@@ -243,11 +245,11 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def still_open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``(key, id, root)``: the members of those lists that hold several groups."""
+    """``(key, id, root, size)``: the members of those lists that hold several groups, and how many their list has."""
     known = members.select("key", "id")
     known = known.withColumn("root", F.col("id")) if roots is None else known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    return written(spread_join(known, open_, ["key"]).select("key", "id", "root"), "crowd")
+    open_ = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x < y").select("key", "size")
+    return written(spread_join(known, open_, ["key"]).select("key", "id", "root", "size"), "crowd")
 
 
 def candidates_finer(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -278,10 +280,11 @@ def _blocked(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def candidates_left(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(a, b, d)``: all close pairs of different groups in the lists of ``members(key, id, root)``, block by block."""
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    """``(a, b, d)``: all close pairs of different groups in the lists of ``members(key, id, root, size)``, block by block. Sizes that aren't given are counted."""
+    if "size" not in members.columns:
+        members = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
     h = F.pmod(F.xxhash64(F.lit(11), "id"), F.col("blocks")).cast("int")
-    dealt = spread_join(members, blocks, ["key"]).withColumn("h", h)
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("h", h)
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "id", "root", "h", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j")).join(classes, "id")
     return _near(dealt.groupBy("key", "i", "j").applyInPandas(_blocked, _BLOCKED), classes)
@@ -318,27 +321,47 @@ def texts_of(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
     return written(docs.select("s_id", "s_text", "text").join(reps, ["s_id", "s_text"]).dropDuplicates(["id"]).select("id", "text"), "texts")
 
 
-def linked(texts: DataFrame, found: DataFrame, links: DataFrame | None, shingle: int, least: float) -> DataFrame | None:
-    """Links ``(a, b)``: those given and verified candidates that connect what they don't."""
-    todo, most = written(found, "pairs"), 4
+def linked(texts: DataFrame, found: DataFrame, roots: DataFrame | None, shingle: int, least: float) -> DataFrame | None:
+    """``(id, root)`` of the groups given and those that verified candidates join; nothing if there are no links."""
+    todo, most = found, 4
     # A pair is tried with its greater id, which has few: the pairs with one posting list's smallest member are many.
     order = Window.partitionBy("b").orderBy("d", "a")
     while not todo.isEmpty():
         ranked = todo.withColumn("n", F.row_number().over(order))
         ok = written(verified(ranked.where(F.col("n") <= most), texts, shingle, least), "links")
-        links = ok if links is None else links.union(ok)
+        if not ok.isEmpty():
+            roots = _roots(ok if roots is None else ok.union(roots))
         rest = written(ranked.where(F.col("n") > most).select("a", "b", "d"), "pairs")
         if rest.isEmpty():
             break
-        root = _roots(links)
-        of = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"r_{c}"))  # noqa: E731, B023
-        rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(r_a, a) <> coalesce(r_b, b)")
-        todo, most = written(rest.select("a", "b", "d"), "pairs"), most * 16
-    return links
-
-
-def _roots(links: DataFrame) -> DataFrame:
-    return written(components(links).withColumnRenamed("node", "id"), "roots")
+        if roots is not None:
+            of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r_{c}"))  # noqa: E731, B023
+            rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(r_a, a) <> coalesce(r_b, b)")
+            rest = written(rest.select("a", "b", "d"), "pairs")
+        todo, most = rest, most * 16
+    return roots
+
+
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links (a, b) of a task as stars: each node but the smallest of its group beside that one."""
+    links = pd.concat([pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)}), *batches])
+    nodes, at = np.unique(links[["a", "b"]].to_numpy(np.int64).ravel(), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pd.DataFrame({"a": nodes, "b": nodes[root]})[root != np.arange(len(nodes))]
+
+
+def _roots(links: DataFrame, most: int | None = None) -> DataFrame:
+    """``(id, root)`` of the groups of ``links(a, b)``. Tasks of ``most`` (``LINKS``) links contract their own first; the groups of several tasks are joined in rounds."""
+    tasks = max(-(-links.count() // (most or LINKS)), 1)
+    stars = links.coalesce(tasks).mapInPandas(_contracted, "a long, b long")
+    found = components(stars) if tasks > 1 else stars.toDF("node", "root")
+    return written(found.withColumnRenamed("node", "id"), "roots")
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -350,14 +373,12 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> Da
     found = written(found, "pairs")
     ids = found.select(F.explode(F.array("a", "b")).alias("id"))
     texts = texts_of(docs, rows, ids if members is None else ids.union(members.select("id")))
-    links = linked(texts, found, None, shingle, least)
-    roots = None if links is None else _roots(links)
+    roots = linked(texts, found, None, shingle, least)
     for more in (candidates_finer, candidates_left) if members is not None else ():
         members = still_open(members, roots)
         if members.isEmpty():
             break
-        links = linked(texts, more(members, classes), links, shingle, least)
-        roots = None if links is None else _roots(links)
+        roots = linked(texts, written(more(members, classes), "pairs"), roots, shingle, least)
     if roots is None:
         return rows.withColumn("root", F.col("id"))
     return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

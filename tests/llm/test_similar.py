@@ -141,3 +141,26 @@ def test_rows_of_lists_grow_with_members():
         rows = pd.DataFrame({"key": 7, "id": np.arange(m), "lane": np.arange(m) % 4, "root": np.arange(m)})
         got = pd.concat(list(similar._lists(iter(rows.iloc[i : i + 700] for i in range(0, m, 700)))))
         assert len(got) == m and sorted(got.a) == list(range(m))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 7])
+def test_roots_are_components(spark, most):
+    """Groups of links, contracted in one task and in several."""
+    rnd = np.random.default_rng(6)
+    pairs = rnd.integers(0, 120, (70, 2)).tolist() + [[i, i + 1] for i in range(200, 260)]
+    of = {x: x for p in pairs for x in p}
+    while any(of[a] != of[b] for a, b in pairs):
+        for a, b in pairs:
+            of[a] = of[b] = min(of[a], of[b])
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    assert {r.id: r.root for r in similar._roots(links, most).collect()} == {k: v for k, v in of.items() if k != v}
+
+
+def test_roots_take_few_jobs(spark):
+    """Links that one task holds are contracted there, without rounds of joins over all of them."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    group = "roots of few links"
+    spark.sparkContext.setJobGroup(group, group)
+    similar._roots(links)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 4
