@@ -252,9 +252,16 @@ def still_open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return written(spread_join(known, open_, ["key"]).select("key", "id", "root", "size"), "crowd")
 
 
+def with_prints(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``members(key, id, ..)`` with the fingerprint ``fp`` of their class, which is joined once for all lists of a class (128 and fewer)."""
+    rest = [c for c in members.columns if c != "id"]
+    own = members.groupBy("id").agg(F.collect_list(F.struct(*rest)).alias("lists")).join(classes.select("id", "fp"), "id")
+    return own.select("id", "fp", F.inline("lists"))
+
+
 def candidates_finer(members: DataFrame, classes: DataFrame) -> DataFrame:
     """``(a, b, d)``: pairs of different groups that finer lists of the open ones have, and members of crowds beside the smallest ones."""
-    pairs, crowd = _listed(members.join(classes, "id").select("key", "id", "fp", "root").mapInPandas(_finer, _POSTED))
+    pairs, crowd = _listed(with_prints(members.select("key", "id", "root"), classes).mapInPandas(_finer, _POSTED))
     return _near(pairs.union(_stars(crowd)), classes)
 
 
@@ -284,9 +291,9 @@ def candidates_left(members: DataFrame, classes: DataFrame) -> DataFrame:
     if "size" not in members.columns:
         members = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
     h = F.pmod(F.xxhash64(F.lit(11), "id"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("h", h)
+    dealt = with_prints(members, classes).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("h", h)
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "id", "root", "h", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j")).join(classes, "id")
+    dealt = dealt.select("key", "id", "root", "fp", "h", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"))
     return _near(dealt.groupBy("key", "i", "j").applyInPandas(_blocked, _BLOCKED), classes)
 
 

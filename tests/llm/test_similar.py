@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from gridloom.llm import similar
+from pyspark.sql import functions as F
 
 from llm_rows import SCHEMA, frame
 
@@ -164,3 +165,13 @@ def test_roots_take_few_jobs(spark):
     similar._roots(links)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 4
+
+
+def test_prints_are_joined_once_for_a_class(spark):
+    """The join with the fingerprints makes a row for each class, not for each list that a class is in."""
+    classes = spark.createDataFrame([(i, [i, -i]) for i in range(9)], "id long, fp array<long>")
+    members = spark.range(50).crossJoin(classes.select(F.col("id").alias("c"))).selectExpr("id as key", "c as id", "c div 2 as root")
+    got = similar.with_prints(members, classes)
+    assert {(r.key, r.id, r.root, tuple(r.fp)) for r in got.collect()} == {(k, i, i // 2, (i, -i)) for k in range(50) for i in range(9)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("collect_list")
